@@ -89,8 +89,13 @@ def dq_overlap(entries: DataFrame) -> DataFrame:
 
 
 def dq_immutable(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``before`` that ``after`` no longer has unchanged; additions are allowed."""
-    return before.select(*columns).exceptAll(after.select(*columns))
+    """Rows of ``before`` that ``after`` no longer has unchanged; additions are allowed.
+
+    Maps are compared as JSON text, since Spark has no set difference on maps.
+    """
+    kinds = dict(before.dtypes)
+    values = [F.to_json(c).alias(c) if kinds[c].startswith("map<") else F.col(c) for c in columns]
+    return before.select(*values).exceptAll(after.select(*values))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

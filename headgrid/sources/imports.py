@@ -28,35 +28,39 @@ class ImportFile:
 
 
 def read_import_file(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = IMPORT_ROW, **options) -> ImportFile:
-    """Read JSON lines or CSV with a fixed schema.
+    """Read JSON lines, or CSV with a header line, with a fixed schema.
 
     A line that is broken, or holds a value of the wrong type, is set aside whole with
-    its text; it is neither loaded in part nor lost.
+    its text; it is neither loaded in part nor lost. CSV files of one load share
+    their header, which may name the columns in any order.
     """
-    if fmt not in ("json", "csv"):
+    lines = spark.read.text(path)
+    if fmt == "json":
+        return parse_import_lines(lines, schema=schema, **options)
+    if fmt != "csv":
         raise ValueError(f"cannot import {fmt} files")
-    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    reader = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return _sift(reader.options(**options).format(fmt).load(path), schema)
+    first = lines.first()
+    if first is None:
+        return parse_import_lines(lines, schema=schema)
+    names = [n.strip().strip('"') for n in first.value.split(options.get("sep", ","))]
+    in_file = T.StructType([schema[n] if n in schema.fieldNames() else T.StructField(n, T.StringType()) for n in names])
+    return parse_import_lines(lines.where(F.col("value") != first.value), schema=in_file, fmt="csv", **options)
 
 
-def parse_import_lines(lines: DataFrame, column: str = "value", schema: T.StructType = IMPORT_ROW) -> ImportFile:
-    """The same for JSON lines that are a text column already."""
+def parse_import_lines(lines: DataFrame, column: str = "value", schema: T.StructType = IMPORT_ROW, fmt: str = "json", **options) -> ImportFile:
+    """The same for lines that are a text column already."""
     with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    parsed = F.from_json(column, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, **options}
+    if fmt == "json":
+        parsed = F.from_json(column, with_bad, options)
+    else:
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_bad.fields)
+        parsed = F.from_csv(column, ddl, options)
     others = [c for c in lines.columns if c != column]
-    return _sift(lines.select(*others, parsed.alias("row")).select(*others, "row.*"), schema)
-
-
-def _sift(raw: DataFrame, schema: T.StructType) -> ImportFile:
-    # All columns are kept in both halves: Spark cannot answer a query on the
-    # corrupt-record column alone.
-    bad = F.col(BAD).isNotNull()
-    names = [f.name for f in schema.fields]
-    others = [c for c in raw.columns if c not in names and c != BAD]
-    return ImportFile(raw.where(~bad).drop(BAD), raw.where(bad).select(*others, F.col(BAD).alias("line"), *names))
+    rows = lines.where(F.trim(column) != "").withColumn("__row", parsed)
+    bad = F.col("__row").isNull() | F.col(f"__row.{BAD}").isNotNull()
+    names = [F.col(f"__row.{n}").alias(n) for n in schema.fieldNames()]
+    return ImportFile(rows.where(~bad).select(*others, *names), rows.where(bad).select(*others, F.col(column).alias("line")))
 
 
 @dataclass

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from headgrid.functions.keys import join_on
-from headgrid.session import broadcast_if_small
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 COMMITS = "commits"
+COMMIT_ROW = T.StructType().add("bucket", T.IntegerType()).add("n_rows", T.LongType()).add("batch", T.LongType())
 
 
 class RuleViolation(ValueError):
@@ -30,9 +28,14 @@ def publish_partitions(df: DataFrame, staging: str, target: str, by: list[str],
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(target)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str):
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path, files = _folder(spark, path)
+    return files.exists(hadoop_path)
 
 
 def write_batch(df: DataFrame, root: str, table: str, batch: int, by: list[str] | None = None) -> None:
@@ -43,56 +46,54 @@ def write_batch(df: DataFrame, root: str, table: str, batch: int, by: list[str]
     df.write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{root}/{table}/batch={batch}")
 
 
-def commit_batch(spark: SparkSession, root: str, batch: int, touched: DataFrame) -> None:
-    """Make a batch visible. ``touched`` lists the buckets it replaced; it is written last."""
-    touched.coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/batch={batch}")
-
+def commit_batch(root: str, batch: int, touched: DataFrame) -> None:
+    """Make a batch visible; call it after all tables of the batch are written.
 
-def commits(spark: SparkSession, root: str) -> DataFrame | None:
-    """``(batch, bucket)`` of all committed batches. Folders without a success mark do not count."""
-    folder = f"{root}/{COMMITS}"
-    if not path_exists(spark, folder):
-        return None
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [
-        s.getPath().toString()
-        for s in fs.listStatus(base)
-        if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    if not done:
-        return None
-    return spark.read.option("basePath", folder).schema("bucket int, batch long").parquet(*done)
+    ``touched`` has one row per replaced bucket: ``bucket`` and its ``n_rows`` now.
+    """
+    touched.select("bucket", "n_rows").coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/batch={batch}")
 
 
 def is_committed(spark: SparkSession, root: str, batch: int) -> bool:
     return path_exists(spark, f"{root}/{COMMITS}/batch={batch}/_SUCCESS")
 
 
-def read_appended(spark: SparkSession, root: str, table: str, schema) -> DataFrame:
-    """Rows that committed batches added to an append-only table."""
-    done = commits(spark, root)
-    if done is None:
-        return spark.createDataFrame([], schema)
-    batches = broadcast_if_small(done.select("batch").distinct())
-    rows = _read(spark, root, table, schema, "batch long")
-    return rows.join(batches, "batch", "left_semi").drop("batch")
+def committed_batches(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the batches whose commit is complete."""
+    base, files = _folder(spark, f"{root}/{COMMITS}")
+    if not files.exists(base):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(base)]
+    batches = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
+    return sorted(b for b in batches if is_committed(spark, root, b))
 
 
-def read_current(spark: SparkSession, root: str, table: str, schema) -> DataFrame:
-    """Rows of a bucketed table: each bucket from the last committed batch that replaced it."""
-    done = commits(spark, root)
-    if done is None:
+def _read_paths(spark: SparkSession, root: str, table: str, schema: T.StructType, paths: list[str]) -> DataFrame:
+    if not paths:
         return spark.createDataFrame([], schema)
-    last = broadcast_if_small(done.groupBy("bucket").agg(F.max("batch").alias("batch")))
-    rows = _read(spark, root, table, schema, "batch long, bucket int")
-    return join_on(rows, last, ["batch", "bucket"], "left_semi").drop("batch", "bucket")
+    reader = spark.read.option("basePath", f"{root}/{table}").schema(schema)
+    return reader.parquet(*paths).select(*schema.fieldNames())
+
+
+def read_appended(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
+    """Rows that committed batches added to an append-only table."""
+    paths = [f"{root}/{table}/batch={b}" for b in committed_batches(spark, root)]
+    return _read_paths(spark, root, table, schema, paths)
 
 
-def _read(spark: SparkSession, root: str, table: str, schema, partitions: str) -> DataFrame:
-    full = schema
-    for part in partitions.split(","):
-        name, kind = part.split()
-        full = full.add(name, kind) if name not in full.fieldNames() else full
-    return spark.read.schema(full).parquet(f"{root}/{table}")
+def read_current(spark: SparkSession, root: str, table: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+    """Rows of a bucketed table: each bucket from the last committed batch that replaced it.
+
+    Only the folders of those batches are listed and read. The driver sees one line
+    per bucket, a number fixed when the table is set up.
+    """
+    batches = committed_batches(spark, root)
+    if not batches:
+        return spark.createDataFrame([], schema)
+    commits = _read_paths(spark, root, COMMITS, COMMIT_ROW, [f"{root}/{COMMITS}/batch={b}" for b in batches])
+    if buckets is not None:
+        commits = commits.where(F.col("bucket").isin(buckets))
+    last = commits.groupBy("bucket").agg(F.max(F.struct("batch", "n_rows")).alias("last")).select("bucket", "last.*")
+    filled = last.where("n_rows > 0").collect()
+    paths = [f"{root}/{table}/batch={r.batch}/bucket={r.bucket}" for r in filled]
+    return _read_paths(spark, root, table, schema, paths)

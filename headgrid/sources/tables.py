@@ -22,21 +22,19 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, root: str, name: str, files_per_partition: int | None = None, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
     """Write a table in its layout.
 
-    Partitioned tables are shuffled on the partition column plus a random-free spread
-    of the id when ``files_per_partition`` is given, so one very large version
-    becomes that many files and the small ones do not become many. Rows are sorted by
-    cost centre within a file, which makes the column statistics selective.
+    Partitioned tables are rebalanced on the partition column: Spark splits a very
+    large version over many tasks and files and joins small ones. Rows are sorted
+    by cost centre within a file, which makes the column statistics selective.
     """
     by = PARTITION_BY.get(name, [])
     rows = conform(df, name)
-    if by and files_per_partition:
-        spread = F.pmod(F.xxhash64("id"), F.lit(files_per_partition))
-        rows = rows.repartition(*by, spread)
-    if "costcenter_id" in rows.columns and by:
-        rows = rows.sortWithinPartitions(*by, "costcenter_id")
+    if by:
+        rows = rows.hint("rebalance", *by)
+        order = [*by, "costcenter_id"] if "costcenter_id" in rows.columns else by
+        rows = rows.sortWithinPartitions(*order)
     rows.write.mode(mode).partitionBy(*by).parquet(f"{root}/{name}")
 
 
