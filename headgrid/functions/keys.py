@@ -25,7 +25,7 @@ def hashed_id(*parts: str | Column) -> Column:
     """
     texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("-")) for p in parts]
     digest = F.md5(F.concat_ws("|", *texts))
-    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 def distinct_from(left: Column, right: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headgrid.functions.keys import distinct_from, subject_key, subject_kind, total
+from headgrid.functions.keys import distinct_from, join_on, subject_key, subject_kind, total
 from headgrid.operators.hierarchy import version_chain
 from headgrid.operators.snapshot import asof
 from headgrid.session import broadcast_if_small, cut
@@ -75,7 +75,8 @@ def diff_versions_by_subject(entries: DataFrame, version_a: str, version_b: str,
     paired = per_subject.where(single)
     several = per_subject.where(~single).select(*subject)
     none = F.lit(None)
-    one_sided = changed.join(several, subject, "left_semi").select(
+    # The null-safe join adds no filter of its own, so all uses of `changed` share one shuffle.
+    one_sided = join_on(changed, several, subject, "left_semi").select(
         *subject,
         F.when(in_a, F.col("state")).otherwise(none).alias("a"),
         F.when(in_b, F.col("state")).otherwise(none).alias("b"),

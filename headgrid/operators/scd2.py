@@ -200,11 +200,9 @@ def scd2_apply(
         "event",
         F.when(~F.col("stored"), F.struct("is_del", "valid_from", "seq", "changed_by", "changed_at")),
     )
-    names = ", ".join(f"`{c}`" for c in unit)
-    effective = effective.withColumn(
-        "next",
-        F.expr(f"lead(event, 1) ignore nulls over (partition by {names} order by {', '.join(order)})"),
-    )
+    # Segments ascend with the order; naming them lets this window use the sort of the one before.
+    names, along = ", ".join(f"`{c}`" for c in unit), ", ".join(["segment", *order])
+    effective = effective.withColumn("next", F.expr(f"lead(event, 1) ignore nulls over (partition by {names} order by {along})"))
     if was_split:
         effective = _carry_back(effective, keys)
     deleted = F.coalesce(F.col("next.is_del"), F.lit(False))
