@@ -18,7 +18,9 @@ SPLIT_ROWS = 1_000_000
 COLD = -1
 
 
-def split_hot_keys(rows: DataFrame, keys: list[str], order: list[str], max_rows: int = SPLIT_ROWS) -> tuple[DataFrame, bool]:
+def split_hot_keys(
+    rows: DataFrame, keys: list[str], order: list[str], max_rows: int = SPLIT_ROWS, sizes: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
     """Add a column ``block``; returns the rows and whether any key was split.
 
     Keys with at most ``max_rows`` rows get the single block -1. The rows of larger
@@ -26,9 +28,10 @@ def split_hot_keys(rows: DataFrame, keys: list[str], order: list[str], max_rows:
     rows, and the number of the part is the block: within a key, blocks follow the
     order. The split is kept in reliable storage, because range bounds are sampled
     and every use must see the same ones. There are at most ``rows / max_rows`` hot
-    keys.
+    keys. Their sizes are counted on ``sizes`` where that is cheaper to read.
     """
-    hot = cut(rows.groupBy(*keys).count().where(F.col("count") > max_rows))
+    counted = rows if sizes is None else sizes
+    hot = cut(counted.groupBy(*keys).count().where(F.col("count") > max_rows))
     stats = hot.agg(F.count("*").alias("n_keys"), F.sum("count").alias("n_rows")).first()
     if stats.n_keys == 0:
         return rows.withColumn("block", F.lit(COLD)), False

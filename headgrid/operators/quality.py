@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headgrid.functions.keys import subject_key, subject_kind
 
+OPEN_END = "9999-12-31"
+
 
 def _key_text(columns: list[str]) -> Column:
     return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
@@ -56,35 +58,35 @@ def dq_foreign_keys(child: DataFrame, column: str, parent: DataFrame, parent_key
 def dq_overlap(entries: DataFrame) -> DataFrame:
     """Live rows whose interval overlaps one that starts earlier or on the same day.
 
-    One output row per subject and start day: how many rows start there, one of them
-    (``entry_id``), and the row that reaches over the start (``overlaps_id``). The
-    rows are first reduced to one per subject and start, so the window sees at most
-    as many rows per subject as there are month starts, however many rows the
-    subject has, and no pairs are formed.
+    One output row per subject and start: how many rows start there, and the start and
+    end of the row that reaches furthest over it. The rows are first reduced to one
+    per subject and start, on dates alone, so that the aggregation stays a hash
+    aggregation and the window sees at most as many rows per subject as there are
+    starts, however many rows the subject has. No pairs are formed.
     """
     subject = ["version_id", "subject_kind", "subject_key"]
-    far = F.coalesce(F.col("valid_to"), F.lit("9999-12-31").cast("date"))
     starts = (
         entries.where(~F.col("is_deleted"))
-        .select("version_id", subject_kind().alias("subject_kind"), subject_key().alias("subject_key"),
-                "valid_from", F.struct(far.alias("until"), "id").alias("reach"))
-        .groupBy(*subject, "valid_from")
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.min("reach.id").alias("entry_id"),
-            F.max("reach.id").alias("last_id"),
-            F.max("reach").alias("reach"),
+        .select(
+            "version_id",
+            subject_kind().alias("subject_kind"),
+            subject_key().alias("subject_key"),
+            "valid_from",
+            F.coalesce(F.col("valid_to"), F.lit(OPEN_END).cast("date")).alias("until"),
         )
+        .groupBy(*subject, "valid_from")
+        .agg(F.count("*").alias("n_rows"), F.max("until").alias("until"))
     )
     earlier = Window.partitionBy(*subject).orderBy("valid_from").rowsBetween(Window.unboundedPreceding, -1)
-    found = starts.withColumn("over", F.max("reach").over(earlier))
+    found = starts.withColumn("over", F.max(F.struct("until", "valid_from")).over(earlier))
     reached = F.col("over.until") > F.col("valid_from")
+    until = F.when(reached, F.col("over.until")).otherwise(F.col("until"))
     return found.where(reached | (F.col("n_rows") > 1)).select(
         *subject,
         "valid_from",
         "n_rows",
-        "entry_id",
-        F.when(reached, F.col("over.id")).otherwise(F.col("last_id")).alias("overlaps_id"),
+        F.when(reached, F.col("over.valid_from")).otherwise(F.col("valid_from")).alias("overlaps_from"),
+        F.when(until != F.lit(OPEN_END).cast("date"), until).alias("overlaps_to"),
     )
 
 

@@ -18,18 +18,17 @@ from headgrid.operators.hierarchy import hierarchy_descendants, hierarchy_tree
 from headgrid.operators.snapshot import asof, in_versions
 
 
-def explode_months(entries: DataFrame, start, end, by: list[str], measure: str = "fte") -> DataFrame:
-    """Sum and count per ``by`` and month of the grid ``start..end``.
+def month_runs(entries: DataFrame, start, end, by: list[str], measure: str = "fte") -> DataFrame:
+    """Sum and count per ``by`` and run of months within the grid ``start..end``.
 
-    Each row covers a run of months, clipped to the grid. Rows with the same group
-    and the same run are summed first: a grid of 18 months has at most 171 runs, so
-    after the map-side combine only ``groups x runs`` rows are shuffled, and the
-    months are unfolded from those, not from the rows of the table. No join is
-    needed, and a group that holds a third of the table is combined before it moves.
+    Each row covers a run of months, clipped to the grid. A grid of 18 months has at
+    most 171 runs, so after the map-side combine only ``groups x runs`` rows are
+    shuffled, and a group that holds a third of the table is combined before it
+    moves.
     """
     first_day, last_day = month_date(start), month_date(end)
     first, last = F.lit(first_day), F.lit(last_day)
-    runs = (
+    return (
         entries.where(~F.col("is_deleted"))
         .where((F.col("valid_from") <= last) & (F.col("valid_to").isNull() | (F.col("valid_to") > first)))
         .select(
@@ -42,13 +41,18 @@ def explode_months(entries: DataFrame, start, end, by: list[str], measure: str =
         .groupBy(*by, "first_month", "last_month")
         .agg(F.sum(measure).alias("run_fte"), F.count("*").alias("run_heads"))
     )
+
+
+def explode_months(entries: DataFrame, start, end, by: list[str], measure: str = "fte") -> DataFrame:
+    """Sum and count per ``by`` and month of the grid ``start..end``.
+
+    The months are unfolded from the few summed runs, not from the rows of the table,
+    and no join with a calendar is needed.
+    """
+    months = F.explode(month_sequence(F.col("first_month"), F.col("last_month"))).alias("month_start")
     return (
-        runs.select(
-            *by,
-            F.explode(month_sequence(F.col("first_month"), F.col("last_month"))).alias("month_start"),
-            "run_fte",
-            "run_heads",
-        )
+        month_runs(entries, start, end, by, measure)
+        .select(*by, months, "run_fte", "run_heads")
         .groupBy("month_start", *by)
         .agg(total("run_fte").alias("total_fte"), F.sum("run_heads").alias("headcount"))
     )
@@ -85,14 +89,15 @@ def rollup_grid(entries: DataFrame, start, end, version: str) -> DataFrame:
     first, last = month_date(start), month_date(end)
     span = (last.year - first.year) * 12 + last.month - first.month
     months = [horizon_end(first, i + 1) for i in range(span + 1)]
-    cells = explode_months(in_versions(entries, version), first, last, ["costcenter_id"])
-    # Plain conditional sums with a known month list: one aggregation, no pass to find the columns.
+    runs = month_runs(in_versions(entries, version), first, last, ["costcenter_id"])
+    # The month list is known, so the columns are conditional sums over the runs: no pass to
+    # find them, and no unfolding.
     sums = []
     for m in months:
-        at = F.col("month_start") == F.lit(m)
-        sums.append(F.sum(F.when(at, F.col("total_fte"))).cast("decimal(38,4)").alias(f"fte_{m:%Y_%m}"))
-        sums.append(F.sum(F.when(at, F.col("headcount"))).alias(f"heads_{m:%Y_%m}"))
-    return cells.groupBy("costcenter_id").agg(*sums).orderBy("costcenter_id")
+        covers = (F.col("first_month") <= F.lit(m)) & (F.col("last_month") >= F.lit(m))
+        sums.append(total(F.when(covers, F.col("run_fte"))).alias(f"fte_{m:%Y_%m}"))
+        sums.append(F.sum(F.when(covers, F.col("run_heads"))).alias(f"heads_{m:%Y_%m}"))
+    return runs.groupBy("costcenter_id").agg(*sums).orderBy("costcenter_id")
 
 
 def actuals_rollup(actuals: DataFrame, run: str | None = None) -> DataFrame:

@@ -51,5 +51,6 @@ def check_all(tables: dict[str, DataFrame]) -> DataFrame:
     parts.append(check_references(tables))
     if "forecast_entries" in tables:
         found = dq_overlap(tables["forecast_entries"])
-        parts.append(found.select(F.lit("forecast_entries").alias("table"), F.lit("no_overlap").alias("rule"), F.col("entry_id").alias("key"), "n_rows"))
+        key = F.concat_ws("/", "version_id", "subject_key", F.col("valid_from").cast("string")).alias("key")
+        parts.append(found.select(F.lit("forecast_entries").alias("table"), F.lit("no_overlap").alias("rule"), key, "n_rows"))
     return union_all(parts)

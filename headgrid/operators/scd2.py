@@ -38,20 +38,28 @@ STATE_COLUMNS = ("valid_from", "valid_to", "is_deleted", "deleted_at", "deleted_
 class ChangeSet:
     """What a batch does to a table.
 
-    ``rows`` holds every new row and every stored open row of a changed subject in
-    its final state, with ``stored`` telling them apart and ``next_*`` naming the
-    change that closed or deleted the row.
+    ``work`` holds every change and every stored open row of a changed subject, with
+    its outcome: ``kept`` marks rows of the table, ``stored`` those that were there
+    before, ``reason`` the rejected changes, and ``next_*`` names the change that
+    closed or deleted the row.
     """
 
     keys: list[str]
     payload: list[str]
-    rows: DataFrame
-    rejects: DataFrame
+    work: DataFrame
 
     @property
     def columns(self) -> list[str]:
         return ["id", *self.keys, *self.payload, *STATE_COLUMNS]
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.work.where("kept")
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self.work.where(F.col("reason").isNotNull()).select(*self.keys, "seq", "valid_from", "reason")
+
     @property
     def inserted(self) -> DataFrame:
         return self.rows.where(~F.col("stored")).select(*self.columns)
@@ -90,7 +98,7 @@ class ChangeSet:
 
     def materialized(self) -> "ChangeSet":
         """The same set computed once; its size is that of the batch, not of the table."""
-        return ChangeSet(self.keys, self.payload, cut(self.rows), cut(self.rejects))
+        return ChangeSet(self.keys, self.payload, cut(self.work))
 
     def merge_into(self, entries: DataFrame) -> DataFrame:
         """The whole table after the batch. Rows that are not open pass through unjoined."""
@@ -142,21 +150,22 @@ def scd2_apply(
     changes are worked on in blocks.
     """
     keys, payload = list(keys), list(payload)
-    checked = changes.withColumn("reason", _invalid(keys, payload))
-    events = checked.where(F.col("reason").isNull()).select(
+    events = changes.select(
         *keys,
         F.lit(False).alias("stored"),
         F.col("seq").cast("long").alias("seq"),
         (F.col("op") == "delete").alias("is_del"),
-        F.when(F.col("op") == "set", F.col("valid_from")).alias("valid_from"),
+        F.when(F.col("op").eqNullSafe("delete"), None).otherwise(F.col("valid_from")).alias("valid_from"),
         hashed_id(*keys, "valid_from", "seq").alias("id"),
         *payload,
         "changed_by",
         "changed_at",
+        _invalid(keys, payload).alias("reason"),
     )
-    rows = events
+    valid, invalid = events.where(F.col("reason").isNull()), events.where(F.col("reason").isNotNull())
+    rows = valid
     if entries is not None:
-        touched = events.select(*keys).distinct()
+        touched = valid.select(*keys).distinct()
         stored = join_on(entries.where(is_open()), touched, keys, "left_semi").select(
             *keys,
             F.lit(True).alias("stored"),
@@ -167,12 +176,13 @@ def scd2_apply(
             *payload,
             F.col("created_by").alias("changed_by"),
             F.col("created_at").alias("changed_at"),
+            F.lit(None).cast("string").alias("reason"),
         )
-        rows = events.unionByName(stored)
+        rows = valid.unionByName(stored)
     rows = rows.withColumn("turn", F.when(F.col("stored"), 0).otherwise(1))
 
     order = ["turn", "seq", "id"]
-    rows, was_split = split_hot_keys(rows, keys, order, split_rows)
+    rows, was_split = split_hot_keys(rows, keys, order, split_rows, sizes=valid)
     unit = [*keys, "block"]
     by_order = Window.partitionBy(*unit).orderBy(*order)
     before = (Window.unboundedPreceding, -1)
@@ -183,30 +193,37 @@ def scd2_apply(
     rows = rows.withColumn("reached", F.max("valid_from").over(in_segment.rowsBetween(*before)))
     if was_split:
         rows = _carry_in(rows, keys)
-    accepted = F.col("stored") | F.col("reached").isNull() | (F.col("valid_from") > F.col("reached"))
-    rows = rows.withColumn("accepted", ~F.col("is_del") & accepted)
-
-    too_early = rows.where(~F.col("is_del") & ~F.col("accepted")).select(
-        *keys,
-        "seq",
-        "valid_from",
-        F.when(F.col("valid_from") == F.col("reached"), "same_month").otherwise("backdated").alias("reason"),
-    )
-    never = checked.where(F.col("reason").isNotNull()).select(
-        *keys, F.col("seq").cast("long").alias("seq"), "valid_from", "reason"
-    )
-
-    effective = rows.where(F.col("is_del") | F.col("accepted")).withColumn(
-        "event",
-        F.when(~F.col("stored"), F.struct("is_del", "valid_from", "seq", "changed_by", "changed_at")),
+    late_enough = F.col("stored") | F.col("reached").isNull() | (F.col("valid_from") > F.col("reached"))
+    too_early = F.when(F.col("valid_from") == F.col("reached"), "same_month").otherwise("backdated")
+    rows = rows.withColumns(
+        {
+            "kept": ~F.col("is_del") & late_enough,
+            "reason": F.when(~F.col("is_del") & ~late_enough, too_early),
+        }
     )
+    # Stored rows come first and are all ended by the first change that counts.
+    counts = ~F.col("stored") & (F.col("is_del") | F.col("kept"))
+    rows = rows.withColumn("event", F.when(counts, F.struct("is_del", "valid_from", "seq", "changed_by", "changed_at")))
     # Segments ascend with the order; naming them lets this window use the sort of the one before.
     names, along = ", ".join(f"`{c}`" for c in unit), ", ".join(["segment", *order])
-    effective = effective.withColumn("next", F.expr(f"lead(event, 1) ignore nulls over (partition by {names} order by {along})"))
+    rows = rows.withColumn("next", F.expr(f"lead(event, 1) ignore nulls over (partition by {names} order by {along})"))
     if was_split:
-        effective = _carry_back(effective, keys)
+        rows = _carry_back(rows, keys)
+    return ChangeSet(keys, payload, _outcome(rows, keys, payload).unionByName(_outcome(_never(invalid, rows), keys, payload)))
+
+
+def _never(invalid: DataFrame, rows: DataFrame) -> DataFrame:
+    """Invalid changes in the columns of the worked rows."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    fixed = {"kept": F.lit(False)}
+    return invalid.select(
+        *[F.col(c) if c in invalid.columns else fixed.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in rows.columns]
+    )
+
+
+def _outcome(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     deleted = F.coalesce(F.col("next.is_del"), F.lit(False))
-    final = effective.where(~F.col("is_del")).select(
+    return rows.select(
         "id",
         *keys,
         *payload,
@@ -217,12 +234,14 @@ def scd2_apply(
         F.when(deleted, F.col("next.changed_by")).alias("deleted_by"),
         F.col("changed_by").alias("created_by"),
         F.col("changed_at").alias("created_at"),
+        "seq",
         "stored",
+        "kept",
+        "reason",
         F.col("next.seq").alias("next_seq"),
         F.col("next.changed_by").alias("next_by"),
         F.col("next.changed_at").alias("next_at"),
     )
-    return ChangeSet(keys, payload, final, too_early.unionByName(never))
 
 
 def _carry_in(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -253,9 +272,9 @@ def _carry_in(rows: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("reached", reached).drop("carried")
 
 
-def _carry_back(effective: DataFrame, keys: list[str]) -> DataFrame:
+def _carry_back(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Give the last rows of a block the first event of a later block."""
-    hot = effective.where(F.col("block") >= 0)
+    hot = rows.where(F.col("block") >= 0)
     heads = hot.groupBy(*keys, "block").agg(
         F.min(F.when(F.col("event").isNotNull(), F.struct("seq", "id", "event"))).alias("head")
     )
@@ -266,7 +285,7 @@ def _carry_back(effective: DataFrame, keys: list[str]) -> DataFrame:
         F.expr(f"lead(head, 1) ignore nulls over (partition by {names} order by block)").alias("following"),
     )
     heads = broadcast_if_small(cut(heads))
-    joined = join_on(effective, heads, [*keys, "block"], "left")
+    joined = join_on(rows, heads, [*keys, "block"], "left")
     return joined.withColumn("next", F.coalesce("next", F.col("following.event"))).drop("following")
 
 

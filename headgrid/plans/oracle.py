@@ -345,12 +345,12 @@ union all select 'entries_version', version_id, count(*) from forecast_entries w
 union all select 'actuals_employee', employee_id, count(*) from employee_actuals where employee_id not in (select id from employees) group by employee_id"""
 ORACLE["dq_overlap"] = """with spans as (
   select o_orderkey as id, o_custkey, cast(date_trunc('month', o_orderdate) as date) as m, cast(date_trunc('month', o_orderdate) + interval 3 month as date) as until from orders),
-starts as (select o_custkey, m, count(*) as n_rows, min(id) as entry_id, max(id) as last_id from spans group by o_custkey, m),
+starts as (select o_custkey, m, count(*) as n_rows, max(until) as until from spans group by o_custkey, m),
 found as (
-  select s.*, (select e.id from spans e where e.o_custkey = s.o_custkey and e.m < s.m order by e.until desc, e.id desc limit 1) as over_id,
+  select s.*, (select e.m from spans e where e.o_custkey = s.o_custkey and e.m < s.m order by e.until desc, e.m desc limit 1) as over_from,
     (select max(e.until) from spans e where e.o_custkey = s.o_custkey and e.m < s.m) as over_until from starts s)
-select 'orders' as version_id, 'employee' as subject_kind, cast(o_custkey as varchar) as subject_key, m as valid_from, n_rows, entry_id,
-  case when over_until > m then over_id else last_id end as overlaps_id
+select 'orders' as version_id, 'employee' as subject_kind, cast(o_custkey as varchar) as subject_key, m as valid_from, n_rows,
+  case when over_until > m then over_from else m end as overlaps_from, case when over_until > m then over_until else until end as overlaps_to
 from found where over_until > m or n_rows > 1"""
 ORACLE["dq_immutable"] = _with(ACTUALS) + """select id, import_run_id, employee_id, costcenter_id, classification_id, employee_group_id, cast(fte as decimal(38,4)) as fte, period_start
 from employee_actuals where employee_group_id = 'EG_F'"""

@@ -55,9 +55,8 @@ def test_backdated_after_delete_is_accepted_and_overlaps(entries, changes):
     stored = entries(dict(id="x", valid_from="2025-01", valid_to="2025-04"), dict(id="y", valid_from="2025-04", is_deleted=True))
     done = scd2.scd2_apply(stored, changes((1, "set", "2025-02", "A", 0.5)))
     assert done.rejects.isEmpty()
-    new = done.inserted.first()
     found = quality.dq_overlap(done.merge_into(stored)).collect()
-    assert [(r.valid_from, r.n_rows, r.entry_id, r.overlaps_id) for r in found] == [(day("2025-02"), 1, new.id, "x")]
+    assert [(r.valid_from, r.n_rows, r.overlaps_from, r.overlaps_to) for r in found] == [(day("2025-02"), 1, day("2025-01"), day("2025-04"))]
 
 
 def test_employee_and_container_are_separate_subjects(entries, changes):
@@ -296,8 +295,8 @@ def test_overlap_of_equal_starts_and_long_reach(entries):
         dict(id="a", valid_from="2025-01"), dict(id="b", valid_from="2025-01", valid_to="2025-02"), dict(id="c", valid_from="2025-06", valid_to="2025-07"),
         dict(id="d", valid_from="2025-03", is_deleted=True), dict(id="e", employee="B", valid_from="2025-01", valid_to="2025-02"), dict(id="f", employee="B", valid_from="2025-02"),
     )
-    got = [(r.valid_from.month, r.n_rows, r.entry_id, r.overlaps_id) for r in quality.dq_overlap(rows).orderBy("valid_from").collect()]
-    assert got == [(1, 2, "a", "b"), (6, 1, "c", "a")]
+    got = [(r.valid_from.month, r.n_rows, r.overlaps_from, r.overlaps_to) for r in quality.dq_overlap(rows).orderBy("valid_from").collect()]
+    assert got == [(1, 2, day("2025-01"), None), (6, 1, day("2025-01"), None)]
 
 
 def test_resolve_codes_keeps_unknown(spark):
