@@ -15,6 +15,7 @@ from headgrid.operators.snapshot import asof
 from headgrid.session import broadcast_if_small, cut
 
 WIDE = "decimal(38,4)"
+PRUNED_VERSIONS = 1000
 STATE = ("costcenter_id", "classification_id", "employee_group_id", "fte")
 
 
@@ -151,7 +152,11 @@ def chain_diff(entries: DataFrame, versions: DataFrame, start: str, month) -> Da
         "version_id", F.when(F.col("is_b"), F.col("version_b")).otherwise(F.col("version_a"))
     )
     roles = broadcast_if_small(cut(roles.select("position", "version_a", "version_b", "is_b", "version_id")))
-    in_chain = asof(entries, month).join(roles.select("version_id"), "version_id", "left_semi")
+    ids = [r.version_id for r in roles.select("version_id").distinct().take(PRUNED_VERSIONS + 1)]
+    if len(ids) <= PRUNED_VERSIONS:  # known ids prune the version partitions before the scan
+        in_chain = asof(entries, month, ids)
+    else:
+        in_chain = asof(entries, month).join(roles, "version_id", "left_semi")
     sums = in_chain.groupBy("version_id", "costcenter_id").agg(F.sum("fte").alias("fte"))
     return (
         sums.join(roles, "version_id")

@@ -337,29 +337,24 @@ def restore(entries: DataFrame, requests: DataFrame, keys=SUBJECT) -> Flagged:
     """
     keys = list(keys)
     asked = requests.select("id").distinct()
-    rows = entries.join(asked, "id", "left_semi")
-    deleted = rows.where("is_deleted")
+    # As many rows as were asked for; kept, because every step below starts from them.
+    deleted = cut(entries.where("is_deleted").join(asked, "id", "left_semi"))
     subjects = deleted.select(*keys).distinct()
-    live = entries.where(is_open())
-    taken = join_on(live, subjects, keys, "left_semi").select(*keys).distinct()
-    latest = deleted.groupBy(*keys).agg(F.max(F.struct("valid_from", "id")).alias("last"))
+    taken = cut(join_on(entries.where(is_open()), subjects, keys, "left_semi").select(*keys).distinct())
     free = join_on(deleted, taken, keys, "left_anti")
-    before = free.join(latest.select(F.col("last.id").alias("id")), "id", "left_semi").select(*entries.columns)
+    latest = free.groupBy(*keys).agg(F.max(F.struct("valid_from", "id")).alias("last")).select(F.col("last.id").alias("id"))
+    before = free.join(latest, "id", "left_semi")
     base = [c for c in entries.columns if c not in ("is_deleted", "deleted_at", "deleted_by")]
     cleared = [
         F.lit(False).alias("is_deleted"),
         F.lit(None).cast("timestamp").alias("deleted_at"),
         F.lit(None).cast("string").alias("deleted_by"),
     ]
-    after = before.select(*base, *cleared)
     not_deleted = asked.join(deleted, "id", "left_anti").select("id", F.lit("not_deleted").alias("reason"))
-    occupied = join_on(deleted, taken, keys, "left_semi").select(
-        "id", F.lit("open_row_exists").alias("reason")
-    )
-    older = free.select("id").join(before.select("id"), "id", "left_anti").select(
-        "id", F.lit("later_row_restored").alias("reason")
-    )
-    return Flagged(before, after, not_deleted.unionByName(occupied).unionByName(older))
+    occupied = join_on(deleted, taken, keys, "left_semi").select("id", F.lit("open_row_exists").alias("reason"))
+    older = free.join(latest, "id", "left_anti").select("id", F.lit("later_row_restored").alias("reason"))
+    refused = not_deleted.unionByName(occupied).unionByName(older)
+    return Flagged(before.select(*entries.columns), before.select(*base, *cleared), refused)
 
 
 def scd2_close(change_set: ChangeSet) -> DataFrame:

@@ -292,7 +292,7 @@ ORACLE["rollover_seed"] = _with(ENTRIES) + f"""select id as source_entry_id, 'v5
   cast(fte as decimal(38,4)) as fte, date '1998-02-01' as valid_from, cast(null as date) as valid_to, false as is_deleted
 from forecast_entries where version_id = 'v4' and {ACTIVE.format(month='1998-02-01')}"""
 ORACLE["rollover_not_copied"] = _with(ENTRIES) + "select id, valid_from, valid_to from forecast_entries where version_id = 'v4' and not is_deleted and valid_from > date '1998-02-01'"
-ORACLE["upsert_config"] = """with latest as (
+ORACLE["upsert"] = """with latest as (
   select * from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1)
 select 'c-' || cast(c_custkey as varchar) as key, coalesce(o_orderpriority, c_mktsegment) as value, c_name as description,
   'o-' || cast(o_orderkey as varchar) as updated_by, o_orderkey as updated_seq

@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from headgrid.functions.keys import subject_key, subject_kind
-from headgrid.operators import audit, diff, hierarchy, lookup, quality, rollup, scd2, snapshot, upsert, versions
+from headgrid.operators import audit, diff, hierarchy, lookup, quality, rollup, scd2, snapshot, versions
+from headgrid.operators import upsert as upserts
 from headgrid.schema import CHECKS
 from headgrid.session import shared_dir
 from headgrid.sources import derived, imports
@@ -304,7 +305,7 @@ def soft_delete(spark, sf_dir):
 @query
 def restore(spark, sf_dir):
     """Every row that the feed deleted is asked back; subjects with an open row refuse."""
-    entries = scd2.scd2_apply(None, _feed(spark, sf_dir)).inserted
+    entries = scd2.scd2_apply(None, _feed(spark, sf_dir)).materialized().inserted
     asked = entries.where("is_deleted").select("id")
     return _rows(scd2.restore(entries, asked).after)
 
@@ -323,7 +324,7 @@ def rollover_not_copied(spark, sf_dir):
 
 
 @query
-def upsert_config(spark, sf_dir):
+def upsert(spark, sf_dir):
     """Customers hold one setting each; their orders change it, suppliers add new ones."""
     config = derived.read(spark, sf_dir, "customer").select(
         F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("key"),
@@ -347,7 +348,7 @@ def upsert_config(spark, sf_dir):
         F.col("s_suppkey").alias("updated_seq"),
     )
     batch = orders.unionByName(suppliers)
-    return upsert.upsert(config, batch, "key", ["value", "updated_by", "updated_seq"], "updated_seq")
+    return upserts.upsert(config, batch, "key", ["value", "updated_by", "updated_seq"], "updated_seq")
 
 
 # Audit
@@ -369,7 +370,7 @@ def audit_diff(spark, sf_dir):
 
 
 def _feed_audit(spark, sf_dir):
-    return scd2.scd2_apply(None, _feed(spark, sf_dir))
+    return scd2.scd2_apply(None, _feed(spark, sf_dir)).materialized()
 
 
 @query

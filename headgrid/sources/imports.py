@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from headgrid.functions.keys import hashed_id
 from headgrid.operators.lookup import run_by_period
+from headgrid.operators.rules import check_table
 from headgrid.schema import IMPORT_ROW
+from headgrid.sources.tables import conform
 
 BAD = "_corrupt_record"
 PERIOD = ["period_year", "period_month"]
@@ -71,6 +73,11 @@ class Import:
     actuals: DataFrame
     refused: DataFrame
 
+    @property
+    def violations(self) -> DataFrame:
+        """Broken rules of the rows to append: FTE range, missing values, an employee twice in a run."""
+        return check_table("employee_actuals", conform(self.actuals, "employee_actuals"))
+
 
 def import_actuals(runs: DataFrame, batch: DataFrame, user: str, at: dt.datetime, source_file: str | None = None) -> Import:
     """Prepare the load of monthly snapshots.

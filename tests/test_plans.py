@@ -66,6 +66,11 @@ def test_one_scan_and_no_join(stored, build):
     assert scans(text) == 1 and "Join" not in text
 
 
+def test_chain_diff_prunes_versions(spark, stored):
+    text = plan(diff.chain_diff(stored, derived.forecast_versions(spark, SMALL), "v4", "1998-10-01"))
+    assert scans(text) == 1 and re.search(r"PartitionFilters: \[[^\]]*version_id#\d+ IN", text)
+
+
 def test_partial_aggregation_before_every_shuffle(stored):
     for df in (diff.diff_versions_by_cc(stored, "v3", "v4", "1998-10-01"), quality.dq_overlap(stored), snapshot.asof_employee(stored, "1998-10-01", "v4")):
         assert "partial_" in plan(df)

@@ -12,6 +12,7 @@ from headgrid.streaming import changes as change_stream
 from headgrid.streaming import imports as import_stream
 
 SMALL = "/root/testdata/sf0.001"
+D1 = Decimal(1)
 
 
 def test_schema_inventory():
@@ -53,6 +54,17 @@ def test_run_counts_count_what_is_there(spark):
     assert {(r.id, r.row_count) for r in imports.import_run_counts(runs, actuals).collect()} == {("r1", 2), ("r2", 0)}
 
 
+def test_import_lists_broken_rules(spark):
+    runs = spark.createDataFrame([], TABLES["import_runs"])
+    rows = [("A", "a", "b", "c", D1), ("A", "a", "b", "c", D1), ("B", "a", "b", "c", Decimal(0)), ("C", None, "b", "c", D1)]
+    batch = spark.createDataFrame(rows, "employee_id string, first_name string, last_name string, costcenter_id string, fte decimal(6,4)")
+    load = imports.import_month(runs, batch, 2025, 1, "u", NOW)
+    found = load.violations.groupBy("rule").count().collect()
+    assert {r["rule"]: r["count"] for r in found} == {
+        "actual_fte_range": 1, "first_name_not_null": 1, "unique_id": 1, "unique_import_run_id_employee_id": 1,
+    }
+
+
 def test_publish_replaces_only_its_partitions(spark, tmp_path):
     target = str(tmp_path / "t")
     spark.createDataFrame([("v1", 1), ("v2", 2)], "version_id string, x int").write.partitionBy("version_id").parquet(target)
