@@ -10,6 +10,11 @@ def lookup_by_id(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFram
     return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
+def config_value(config: DataFrame, key: str, kind: str = "string") -> DataFrame:
+    """The value of a setting as ``kind``; NULL if it cannot be read as that."""
+    return config.where(F.col("key") == key).select(F.expr(f"try_cast(value as {kind})").alias("value"))
+
+
 def resolve_codes(rows: DataFrame, lookup: DataFrame, code: str, into: str, lookup_code: str = "code", lookup_id: str = "id") -> DataFrame:
     """Add the id behind each code as ``into``; an unknown code gives NULL and keeps its row."""
     ids = lookup.select(F.col(lookup_code).alias(code), F.col(lookup_id).alias(into))

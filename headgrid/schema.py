@@ -22,14 +22,8 @@ _COLUMNS = {
 
 
 def _split(columns: str) -> list[tuple[str, str, bool]]:
-    out, depth, start = [], 0, 0
-    for i, char in enumerate(columns + ","):
-        depth += (char in "<(") - (char in ">)")
-        if char == "," and depth == 0:
-            name, kind = columns[start:i].strip().split(" ", 1)
-            out.append((name, kind.rstrip("!"), kind.endswith("!")))
-            start = i + 1
-    return out
+    parts = [c.split(" ") for c in columns.split(", ")]
+    return [(name, kind.rstrip("!"), kind.endswith("!")) for name, kind in parts]
 
 
 _TYPES = {

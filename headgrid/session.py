@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, name: str = "headgrid") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     A machine-local folder is taken only when the whole session is one machine.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from headgrid.operators import audit, diff, quality, rollup, scd2, snapshot, versions
 from headgrid.plans.queries import NOW
@@ -127,4 +126,3 @@ def test_no_explicit_broadcast_without_a_size_check():
     used = {p.name for p in root.rglob("*.py") if "F.broadcast(" in p.read_text()}
     assert used == {"session.py", "audit.py"}  # both count or know the rows first
     assert not any("localCheckpoint" in p.read_text() for p in root.rglob("*.py"))
-    assert F is not None

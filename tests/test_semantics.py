@@ -305,6 +305,13 @@ def test_resolve_codes_keeps_unknown(spark):
     assert {(r.code, r.cc) for r in lookup.resolve_codes(rows, centres, "code", "cc").collect()} == {("K1", "1"), ("K2", None)}
 
 
+def test_config_values_are_cast(spark):
+    config = tables.seed_system_config(spark, NOW)
+    assert lookup.config_value(config, "fc_horizon_months", "int").first().value == 18
+    assert lookup.config_value(config, "import_source_label", "int").first().value is None
+    assert lookup.config_value(config, "nothing").isEmpty()
+
+
 def test_listings(spark):
     assert [r.code for r in lookup.list_lookups(tables.seed_classification_types(spark)).collect()] == ["direct", "indirect", "overhead", "contractor"]
     assert [r.code for r in lookup.list_lookups(tables.seed_employee_groups(spark)).collect()][0] == "EG_EXEC"

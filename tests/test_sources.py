@@ -1,10 +1,9 @@
-import datetime as dt
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import NOW, day
+from conftest import NOW
 from headgrid.operators import quality
 from headgrid.schema import FOREIGN_KEYS, NOT_NULL, TABLES, UNIQUE_KEYS
 from headgrid.sources import derived, imports, publish, tables
@@ -132,4 +131,3 @@ def test_stream_import_refuses_loaded_months(spark, tmp_path):
     assert sorted((r.period_month, r.row_count) for r in runs) == [(1, 2), (2, 1), (3, 1)]
     assert import_stream.read_loaded(spark, root, "employee_actuals").count() == 4
     assert [(r.employee_id, r.period_month) for r in import_stream.refused_rows(spark, root).collect()] == [("A", 2)]
-    assert isinstance(NOW, dt.datetime) and day("2025-01") is not None
