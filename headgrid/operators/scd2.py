@@ -150,39 +150,47 @@ def scd2_apply(
     changes are worked on in blocks.
     """
     keys, payload = list(keys), list(payload)
-    events = changes.select(
+    valid = F.col("reason").isNull()
+    rows = changes.select(
         *keys,
         F.lit(False).alias("stored"),
         F.col("seq").cast("long").alias("seq"),
-        (F.col("op") == "delete").alias("is_del"),
-        F.when(F.col("op").eqNullSafe("delete"), None).otherwise(F.col("valid_from")).alias("valid_from"),
+        "op",
+        "valid_from",
         hashed_id(*keys, "valid_from", "seq").alias("id"),
         *payload,
         "changed_by",
         "changed_at",
         _invalid(keys, payload).alias("reason"),
     )
-    valid, invalid = events.where(F.col("reason").isNull()), events.where(F.col("reason").isNotNull())
-    rows = valid
+    # An invalid change stays in the stream without an effect: no delete, no month.
+    rows = rows.withColumns(
+        {
+            "is_del": valid & (F.col("op") == "delete"),
+            "month": F.when(valid & (F.col("op") == "set"), F.col("valid_from")),
+        }
+    ).drop("op")
+    sizes = rows
     if entries is not None:
-        touched = valid.select(*keys).distinct()
+        touched = rows.where(valid).select(*keys).distinct()
         stored = join_on(entries.where(is_open()), touched, keys, "left_semi").select(
             *keys,
             F.lit(True).alias("stored"),
             F.lit(-1).cast("long").alias("seq"),
             F.lit(False).alias("is_del"),
             "valid_from",
+            F.col("valid_from").alias("month"),
             "id",
             *payload,
             F.col("created_by").alias("changed_by"),
             F.col("created_at").alias("changed_at"),
             F.lit(None).cast("string").alias("reason"),
         )
-        rows = valid.unionByName(stored)
+        rows = rows.unionByName(stored)
     rows = rows.withColumn("turn", F.when(F.col("stored"), 0).otherwise(1))
 
     order = ["turn", "seq", "id"]
-    rows, was_split = split_hot_keys(rows, keys, order, split_rows, sizes=valid)
+    rows, was_split = split_hot_keys(rows, keys, order, split_rows, sizes)
     unit = [*keys, "block"]
     by_order = Window.partitionBy(*unit).orderBy(*order)
     before = (Window.unboundedPreceding, -1)
@@ -190,35 +198,27 @@ def scd2_apply(
         "segment", F.coalesce(F.sum(F.col("is_del").cast("int")).over(by_order.rowsBetween(*before)), F.lit(0))
     )
     in_segment = Window.partitionBy(*unit, "segment").orderBy(*order)
-    rows = rows.withColumn("reached", F.max("valid_from").over(in_segment.rowsBetween(*before)))
+    rows = rows.withColumn("reached", F.max("month").over(in_segment.rowsBetween(*before)))
     if was_split:
         rows = _carry_in(rows, keys)
-    late_enough = F.col("stored") | F.col("reached").isNull() | (F.col("valid_from") > F.col("reached"))
-    too_early = F.when(F.col("valid_from") == F.col("reached"), "same_month").otherwise("backdated")
+    late_enough = F.col("stored") | F.col("reached").isNull() | (F.col("month") > F.col("reached"))
+    sets = F.col("month").isNotNull()
+    too_early = F.when(F.col("month") == F.col("reached"), "same_month").otherwise("backdated")
     rows = rows.withColumns(
         {
-            "kept": ~F.col("is_del") & late_enough,
-            "reason": F.when(~F.col("is_del") & ~late_enough, too_early),
+            "kept": sets & late_enough,
+            "reason": F.coalesce("reason", F.when(sets & ~late_enough, too_early)),
         }
     )
     # Stored rows come first and are all ended by the first change that counts.
     counts = ~F.col("stored") & (F.col("is_del") | F.col("kept"))
-    rows = rows.withColumn("event", F.when(counts, F.struct("is_del", "valid_from", "seq", "changed_by", "changed_at")))
+    rows = rows.withColumn("event", F.when(counts, F.struct("is_del", "month", "seq", "changed_by", "changed_at")))
     # Segments ascend with the order; naming them lets this window use the sort of the one before.
     names, along = ", ".join(f"`{c}`" for c in unit), ", ".join(["segment", *order])
     rows = rows.withColumn("next", F.expr(f"lead(event, 1) ignore nulls over (partition by {names} order by {along})"))
     if was_split:
         rows = _carry_back(rows, keys)
-    return ChangeSet(keys, payload, _outcome(rows, keys, payload).unionByName(_outcome(_never(invalid, rows), keys, payload)))
-
-
-def _never(invalid: DataFrame, rows: DataFrame) -> DataFrame:
-    """Invalid changes in the columns of the worked rows."""
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    fixed = {"kept": F.lit(False)}
-    return invalid.select(
-        *[F.col(c) if c in invalid.columns else fixed.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in rows.columns]
-    )
+    return ChangeSet(keys, payload, _outcome(rows, keys, payload))
 
 
 def _outcome(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
@@ -228,7 +228,7 @@ def _outcome(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
         *keys,
         *payload,
         "valid_from",
-        F.when(~deleted, F.col("next.valid_from")).alias("valid_to"),
+        F.when(~deleted, F.col("next.month")).alias("valid_to"),
         deleted.alias("is_deleted"),
         F.when(deleted, F.col("next.changed_at")).alias("deleted_at"),
         F.when(deleted, F.col("next.changed_by")).alias("deleted_by"),
@@ -254,7 +254,7 @@ def _carry_in(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     hot = rows.where(F.col("block") >= 0)
     per_segment = hot.groupBy(*keys, "block", "segment").agg(
-        F.max("valid_from").alias("latest"), F.max("is_del").alias("ends")
+        F.max("month").alias("latest"), F.max("is_del").alias("ends")
     )
     # A segment that ends in a delete leaves nothing behind; the open one, if any, does.
     summary = per_segment.groupBy(*keys, "block").agg(

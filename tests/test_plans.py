@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from headgrid.operators import audit, diff, quality, rollup, scd2, snapshot, versions
 from headgrid.plans.queries import NOW
@@ -104,10 +105,11 @@ def test_foreign_key_values_are_counted_before_a_shuffled_join(spark, stored):
     assert text.index("Join") < text.index("partial_count")
 
 
-def test_subject_diff_shuffles_the_table_once(spark, stored):
+def test_subject_diff_states_shuffle_their_rows_once(spark, stored):
+    rows = snapshot.asof(stored, "1998-10-01", ["v3", "v4"]).select("version_id", F.lit("e").alias("subject_kind"), F.col("employee_id").alias("subject_key"), *diff.STATE)
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows reuse before the run
-        text = plan(diff.diff_versions_by_subject(stored, "v3", "v4", "1998-10-01").select("*"))
+        text = plan(diff._diff_states(rows, "v4", ["subject_kind", "subject_key"]).select("*"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert scans(text) == 1 and text.count("ReusedExchange") >= 2, text
