@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from headgrid.operators.versions import Rollover
+from headgrid.schema import TABLES
+from headgrid.sources.imports import Import
+from headgrid.sources.tables import conform, write_table
+
 COMMITS = "commits"
 COMMIT_ROW = T.StructType().add("bucket", T.IntegerType()).add("n_rows", T.LongType()).add("batch", T.LongType())
 
@@ -22,7 +27,7 @@ def publish_partitions(df: DataFrame, staging: str, target: str, by: list[str],
     df.write.mode("overwrite").parquet(staging)
     staged = spark.read.schema(df.schema).parquet(staging)
     if violations is not None:
-        found = violations(staged).limit(5).collect()
+        found = violations(staged).take(5)
         if found:
             raise RuleViolation(f"not published: {found}")
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(target)
@@ -38,6 +43,59 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(hadoop_path)
 
 
+def generations(spark: SparkSession, root: str, table: str) -> list[int]:
+    """Numbers of the complete generations of a small table."""
+    base, files = _folder(spark, f"{root}/{table}")
+    if not files.exists(base):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(base)]
+    found = [int(n.split("=")[1]) for n in names if n.startswith("generation=")]
+    return sorted(g for g in found if path_exists(spark, f"{root}/{table}/generation={g}/_SUCCESS"))
+
+
+def publish_generation(df: DataFrame, root: str, table: str) -> None:
+    """Replace a small table as a whole.
+
+    The new state goes into a folder of its own, which counts from the moment its
+    success mark is there; ``df`` may read the generation before.
+    """
+    done = generations(df.sparkSession, root, table)
+    number = done[-1] + 1 if done else 0
+    conform(df, table).write.mode("overwrite").parquet(f"{root}/{table}/generation={number}")
+
+
+def read_generation(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The latest complete generation of a small table."""
+    done = generations(spark, root, table)
+    if not done:
+        return spark.createDataFrame([], TABLES[table])
+    return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/generation={done[-1]}")
+
+
+def publish_rollover(done: Rollover, root: str) -> None:
+    """Publish a rollover: rows and audit of the new version first, the registry last.
+
+    Readers start from the registry, so a rollover that fails half-way is not seen.
+    Its version id is the same when it is repeated, and the repeat replaces the rows.
+    """
+    write_table(done.seeded, root, "forecast_entries", only_its_partitions=True)
+    write_table(done.audit, root, "forecast_entry_audit", only_its_partitions=True)
+    publish_generation(done.versions, root, "forecast_versions")
+
+
+def publish_import(load: Import, root: str) -> None:
+    """Publish a monthly load: the actuals first, the run headers last.
+
+    Nothing is written if a row breaks a rule.
+    """
+    found = load.violations.take(5)
+    if found:
+        raise RuleViolation(f"not published: {found}")
+    write_table(load.actuals, root, "employee_actuals", only_its_partitions=True)
+    runs = read_generation(load.runs.sparkSession, root, "import_runs")
+    publish_generation(runs.unionByName(conform(load.runs, "import_runs")), root, "import_runs")
+
+
 def write_batch(df: DataFrame, root: str, table: str, batch: int, by: list[str] | None = None) -> None:
     """Write the rows of one batch into a folder of their own.
 

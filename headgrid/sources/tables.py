@@ -22,8 +22,8 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Write a table in its layout.
+def write_table(df: DataFrame, root: str, name: str, only_its_partitions: bool = False) -> None:
+    """Write a table in its layout, replacing it or only the partitions that ``df`` holds.
 
     Partitioned tables are rebalanced on the partition column: Spark splits a very
     large version over many tasks and files and joins small ones. Rows are sorted
@@ -35,7 +35,8 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
         rows = rows.hint("rebalance", *by)
         order = [*by, "costcenter_id"] if "costcenter_id" in rows.columns else by
         rows = rows.sortWithinPartitions(*order)
-    rows.write.mode(mode).partitionBy(*by).parquet(f"{root}/{name}")
+    kind = "dynamic" if only_its_partitions else "static"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", kind).partitionBy(*by).parquet(f"{root}/{name}")
 
 
 def write_json(df: DataFrame, path: str) -> None:

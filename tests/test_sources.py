@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import NOW
-from headgrid.operators import quality
+from headgrid.operators import quality, versions
 from headgrid.schema import FOREIGN_KEYS, NOT_NULL, TABLES, UNIQUE_KEYS
 from headgrid.sources import derived, imports, publish, tables
 from headgrid.streaming import changes as change_stream
@@ -76,6 +76,46 @@ def test_publish_replaces_only_its_partitions(spark, tmp_path):
     assert spark.read.parquet(target).count() == 2
 
 
+def test_published_rollover_can_be_repeated(spark, entries, tmp_path):
+    root = str(tmp_path)
+    tables.write_table(entries(dict(id="x", valid_from="2025-01"), dict(id="y", employee="B", valid_from="2025-09")), root, "forecast_entries")
+    first = spark.createDataFrame([("v1", "l", "working", 2025, 7, 18, None, None, None, "u", NOW)], TABLES["forecast_versions"])
+    publish.publish_generation(first, root, "forecast_versions")
+
+    def roll():
+        stored = tables.read_table(spark, root, "forecast_entries")
+        return versions.rollover(stored, publish.read_generation(spark, root, "forecast_versions"), "l", "2025-08-01", 18, "u", NOW)
+
+    half = roll()  # fails after the rows were written: the registry does not know them
+    tables.write_table(half.seeded, root, "forecast_entries", only_its_partitions=True)
+    assert [r.id for r in publish.read_generation(spark, root, "forecast_versions").collect()] == ["v1"]
+    done = roll()
+    publish.publish_rollover(done, root)
+    registry = {r.id: r.status for r in publish.read_generation(spark, root, "forecast_versions").collect()}
+    assert registry == {"v1": "archived", done.version_id: "working"} and done.version_id == half.version_id
+    stored = tables.read_table(spark, root, "forecast_entries")
+    assert {(r.version_id, r["count"]) for r in stored.groupBy("version_id").count().collect()} == {("v1", 2), (done.version_id, 1)}
+    assert tables.read_table(spark, root, "forecast_entry_audit").count() == 1
+
+
+def test_published_import(spark, tmp_path):
+    root = str(tmp_path)
+    kinds = "employee_id string, first_name string, last_name string, costcenter_id string, fte decimal(6,4)"
+    for month in (1, 2):
+        rows = spark.createDataFrame([("A", "a", "b", "c", D1), ("B", "a", "b", "c", D1)][:month], kinds)
+        load = imports.import_month(publish.read_generation(spark, root, "import_runs"), rows, 2025, month, "u", NOW)
+        publish.publish_import(load, root)
+    runs = publish.read_generation(spark, root, "import_runs")
+    assert sorted((r.period_month, r.row_count) for r in runs.collect()) == [(1, 1), (2, 2)]
+    assert tables.read_table(spark, root, "employee_actuals").count() == 3
+    with pytest.raises(imports.PeriodExists):
+        imports.import_month(runs, rows, 2025, 2, "u", NOW)
+    bad = imports.import_month(runs, spark.createDataFrame([("A", "a", "b", "c", Decimal(0))], kinds), 2025, 3, "u", NOW)
+    with pytest.raises(publish.RuleViolation):
+        publish.publish_import(bad, root)
+    assert tables.read_table(spark, root, "employee_actuals").count() == 3
+
+
 def same(left, right):
     right = right.select(*left.columns)
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
