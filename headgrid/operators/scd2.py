@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headgrid.functions.keys import SUBJECT, hashed_id, join_on
 from headgrid.functions.temporal import is_open
@@ -141,7 +141,8 @@ def scd2_apply(
     ``changes`` has the keys, ``seq`` (unique per subject), ``op`` (``set`` or
     ``delete``), ``valid_from``, the payload, ``changed_by`` and ``changed_at``.
     Employees and containers use the same call: the key names both columns and one
-    of them is NULL. Only open rows of changed subjects are read from ``entries``.
+    of them is NULL. Only open rows of changed subjects are read from ``entries``; a
+    subject has one at most.
 
     Per subject in ``seq`` order, a segment runs up to a delete. Within a segment a
     change is accepted exactly if its month is after all earlier months of the
@@ -291,15 +292,21 @@ def _carry_back(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass
 class Flagged:
-    """Rows changed by a soft delete or restore, before and after, and refused requests."""
+    """Rows changed by a soft delete or restore, before and after, and refused requests.
+
+    ``scope`` is the condition that every changed row met before.
+    """
 
     before: DataFrame
     after: DataFrame
     refused: DataFrame
+    scope: Column
 
     def merge_into(self, entries: DataFrame) -> DataFrame:
-        kept = entries.join(self.after.select("id"), "id", "left_anti")
-        return kept.select(*entries.columns).unionByName(self.after.select(*entries.columns))
+        """The whole table after the change. Rows outside the scope pass through unjoined."""
+        others = entries.where(~self.scope)
+        kept = entries.where(self.scope).join(self.after.select("id"), "id", "left_anti").select(*entries.columns)
+        return others.unionByName(kept).unionByName(self.after.select(*entries.columns))
 
 
 def soft_delete(entries: DataFrame, requests: DataFrame, keys=SUBJECT) -> Flagged:
@@ -325,7 +332,7 @@ def soft_delete(entries: DataFrame, requests: DataFrame, keys=SUBJECT) -> Flagge
     anonymous = requests.where(F.col("deleted_by").isNull() | F.col("deleted_at").isNull()).select(
         *keys, F.lit("missing_actor").alias("reason")
     )
-    return Flagged(hit.drop("ask"), after, missing.unionByName(anonymous))
+    return Flagged(hit.drop("ask"), after, missing.unionByName(anonymous), is_open())
 
 
 def restore(entries: DataFrame, requests: DataFrame, keys=SUBJECT) -> Flagged:
@@ -354,7 +361,7 @@ def restore(entries: DataFrame, requests: DataFrame, keys=SUBJECT) -> Flagged:
     occupied = join_on(deleted, taken, keys, "left_semi").select("id", F.lit("open_row_exists").alias("reason"))
     older = free.join(latest, "id", "left_anti").select("id", F.lit("later_row_restored").alias("reason"))
     refused = not_deleted.unionByName(occupied).unionByName(older)
-    return Flagged(before.select(*entries.columns), before.select(*base, *cleared), refused)
+    return Flagged(before.select(*entries.columns), before.select(*base, *cleared), refused, F.col("is_deleted"))
 
 
 def scd2_close(change_set: ChangeSet) -> DataFrame:

@@ -128,6 +128,7 @@ def forecast_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = F.sequence(F.lit(1), F.lit(N_VERSIONS))
     states = _order_states(spark, sf_dir).withColumn("v", F.explode(numbers)).where(F.col("o_orderkey") % 5 != F.col("v"))
     rows = _last_of_month(states, ["v", "o_custkey", "m"])
+    # One row per month by now, so a customer has few rows here however many orders it has.
     following = F.lead("m").over(Window.partitionBy("v", "o_custkey").orderBy("m"))
     rows = rows.withColumn("nx", following)
     container = F.col("o_custkey") % 10 == 0
