@@ -1,21 +1,21 @@
 """Encoding of texts by way of remembered words.
 
 The byte-level patterns used here let a pre-token begin with one space, and otherwise never
-mix white space with other characters. So where words are separated by single spaces, a
-pre-token never reaches across the start of a space, and each word with the space before it can
-be cut on its own. Words repeat; a worker remembers their ids, and those of pre-tokens. Texts
+mix white space with other characters. So where words are separated by single spaces or line
+feeds, a pre-token never reaches across the start of a space or a line feed, and each word with
+the space before it can be cut on its own. Words repeat; a worker remembers their ids, and those of pre-tokens. Texts
 with other white space at their ends or in a row are cut as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import filterfalse, repeat
 
 import regex
 
 #: Words and pre-tokens that a worker remembers, and the longest one that it does.
-MEMO = 400_000
-TOKEN_MEMO = 600_000
+MEMO = 900_000
 LONGEST = 64
 #: Texts worked on at a time.
 GROUP = 1024
@@ -51,38 +51,32 @@ class ChunkEncoder:
         special: Callable[[str], bool] = lambda text: False,
     ):
         self.pattern, self.merge, self.whole, self.special = unicode_pattern(pattern), merge, whole, special
-        self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-
-    def _cut(self, word: str) -> list[str]:
-        if word[1:].isalpha():
-            if word[0] == " " or word[0].isalpha():
-                return [word]
-        elif word[-1] in ".,|" and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
-            return [word[:-1], word[-1]]
-        return self.pattern.findall(word)
-
-    def _new_words(self, words: list[str]) -> None:
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
         """Remember the ids of different words that are not remembered yet."""
-        cut = list(map(self._cut, words))
-        tokens = self.tokens
-        new = [t for t in dict.fromkeys(t for parts in cut for t in parts) if t not in tokens]
-        if len(tokens) + len(new) > TOKEN_MEMO:
-            tokens.clear()
-            new = list(dict.fromkeys(t for parts in cut for t in parts))
-        if new:
-            tokens.update(zip(new, self.merge(new)))
-        self.words.update((w, tokens[p[0]] if len(p) == 1 else b"".join([tokens[t] for t in p])) for w, p in zip(words, cut))
-        for token in new:
-            if len(token) > LONGEST:
-                del tokens[token]
+        known, cut = self.known, self.pattern.findall
+        tokens, made = [], []
+        for word in words:
+            if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+                tokens.append(word)
+            elif word[-1] in ".,|" and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
+                made.append((word, (word[:-1], word[-1])))
+            else:
+                made.append((word, cut(word)))
+        tokens = dict.fromkeys(tokens)
+        tokens.update((t, None) for _, parts in made for t in parts if t not in known)
+        if tokens:
+            known.update(zip(tokens, self.merge(list(tokens))))
+        for word, parts in made:
+            known[word] = b"".join([known[t] for t in parts])
 
     def _group(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         words, rest = {}, []
         for at, text in enumerate(texts):
             if text and even(text) and not self.special(text):
-                words[at] = text.replace(" ", "\0 ").split("\0")
+                words[at] = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
             elif text:
                 rest.append(at)
         if rest and self.whole:
@@ -90,20 +84,18 @@ class ChunkEncoder:
                 out[at] = found
         else:
             words.update((at, self.pattern.findall(texts[at])) for at in rest)
-        if len(self.words) > MEMO:
-            self.words.clear()
-        known = self.words.get
-        ids = {at: list(map(known, parts)) for at, parts in words.items()}
-        short = [at for at, found in ids.items() if None in found]
-        new = list(dict.fromkeys(w for at in short for w, i in zip(words[at], ids[at]) if i is None))
-        self._new_words(new)
-        for at in short:
-            ids[at] = map(known, words[at])
-        for at, found in ids.items():
-            out[at] = b"".join(found)
+        if len(self.known) > MEMO:
+            self.known.clear()
+        new: dict[str, None] = {}
+        for parts in words.values():
+            new.update(zip(filterfalse(self.known.__contains__, parts), repeat(None)))
+        self._learn(list(new))
+        ids = self.known.__getitem__
+        for at, parts in words.items():
+            out[at] = b"".join(map(ids, parts))
         for word in new:
             if len(word) > LONGEST:
-                del self.words[word]
+                del self.known[word]
         return out
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:

@@ -37,6 +37,8 @@ from headgrid.llm.common import arrow_map
 
 FRAME_IDS = 1 << 16
 LEVEL = 3
+#: Most tasks that read files; each reads its files one after the other.
+READ_TASKS = 10_000
 #: Fixed values of the seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 1 << 7
 #: Of a document: id, whether it has one, frame of its first id, place within the frame, number of ids.
@@ -241,11 +243,11 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids of every document, read from the files, one file a task.
+    """doc_id, start, n_tokens and ids of every document, read from the files.
 
     ``start`` counts the ids of all documents before; ``ids`` are little-endian unsigned 32-bit.
     """
-    files = manifest.repartition(F.col("file"))
+    files = manifest.repartition(max(1, min(manifest.count(), READ_TASKS)), "file")
 
     def read(batches):
         for batch in batches:
