@@ -15,7 +15,7 @@ from itertools import filterfalse, repeat
 import regex
 
 #: Words and pre-tokens that a worker remembers, and the longest one that it does.
-MEMO = 900_000
+MEMO = 250_000
 LONGEST = 64
 #: Texts worked on at a time.
 GROUP = 1024
@@ -49,9 +49,10 @@ class ChunkEncoder:
         merge: Callable[[list[str]], Sequence[bytes]],
         whole: Callable[[list[str]], Sequence[bytes]] | None = None,
         special: Callable[[str], bool] = lambda text: False,
+        memo: int = MEMO,
     ):
         self.pattern, self.merge, self.whole, self.special = unicode_pattern(pattern), merge, whole, special
-        self.known: dict[str, bytes] = {}
+        self.memo, self.known = memo, {}
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of different words that are not remembered yet."""
@@ -84,7 +85,7 @@ class ChunkEncoder:
                 out[at] = found
         else:
             words.update((at, self.pattern.findall(texts[at])) for at in rest)
-        if len(self.known) > MEMO:
+        if len(self.known) > self.memo:
             self.known.clear()
         new: dict[str, None] = {}
         for parts in words.values():

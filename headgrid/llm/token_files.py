@@ -37,6 +37,8 @@ from headgrid.llm.common import arrow_map
 
 FRAME_IDS = 1 << 16
 LEVEL = 3
+#: Words and pre-tokens that a worker remembers: the library is slow on new ones.
+MEMO = 900_000
 #: Most tasks that read files; each reads its files one after the other.
 READ_TASKS = 10_000
 #: Fixed values of the seekable format.
@@ -180,7 +182,7 @@ def encoder(vocabulary: str, pattern: str) -> ChunkEncoder:
             found = iter([packed[4 * s : 4 * e] for s, e in zip(starts, ends.tolist())])
         return [out[at] if at in out else next(found) for at in range(len(raw))]
 
-    return ChunkEncoder(pattern, merge, whole, lambda text: any(s in text for s in special))
+    return ChunkEncoder(pattern, merge, whole, lambda text: any(s in text for s in special), MEMO)
 
 
 def write_token_files(
