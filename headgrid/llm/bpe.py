@@ -73,15 +73,13 @@ def serialised_model(entries: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; a worker keeps one for each."""
+    """Encoder of one vocabulary; a worker keeps one for each."""
 
     def __init__(self, path: str, pattern: str):
-        self.entries = read_ranks(path)
-        self.of_byte = byte_characters()
-        self.to_byte = {c: b for b, c in enumerate(self.of_byte)}
-        self.rank = {e: i for i, e in enumerate(self.entries)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.entries))
-        self.mapped = str.maketrans({i: c for i, c in enumerate(self.of_byte)})
+        entries = read_ranks(path)
+        self.rank = {e: i for i, e in enumerate(entries)}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(entries))
+        self.mapped = str.maketrans({i: c for i, c in enumerate(byte_characters())})
         self.chunks = ChunkEncoder(pattern, self._merge)
 
     def _merge(self, tokens: list[str]) -> list[bytes]:
@@ -96,10 +94,13 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return self.chunks.encode(texts)
 
-    def decode(self, ids: bytes | None) -> bytes:
-        """Inverse: the pieces of the ids, each character mapped back to its byte."""
-        entries = self.entries
-        return b"".join([entries[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
+
+def decode(entries: list[bytes], ids: bytes | None) -> bytes:
+    """Inverse: the entries of the ids, which are their pieces with each character mapped back to its byte."""
+    return b"".join([entries[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
+
+
+read_once = lru_cache(maxsize=4)(read_ranks)
 
 
 @lru_cache(maxsize=4)
@@ -124,12 +125,12 @@ def bpe_encode(
 
 
 def bpe_decode(
-    encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "ids"), ids_col: str = "ids", out: str = "bytes"
+    encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "ids"), ids_col: str = "ids", out: str = "bytes"
 ) -> DataFrame:
     """``keep`` and the bytes that the ids stand for. Null ids are none; an id outside the vocabulary is an error."""
 
     def work(values):
-        own = codec(path, pattern)
-        return [[own.decode(v) for v in values]]
+        entries = read_once(path)
+        return [[decode(entries, v) for v in values]]
 
     return map_texts(encoded, work, f"`{out}` binary", keep, ids_col)

@@ -15,10 +15,10 @@ from itertools import filterfalse, repeat
 import regex
 
 #: Words and pre-tokens that a worker remembers, and the longest one that it does.
-MEMO = 250_000
+MEMO = 150_000
 LONGEST = 64
 #: Texts worked on at a time.
-GROUP = 1024
+GROUP = 256
 EDGES = ("  ", " \n", "\n ", "\n\n")
 
 

@@ -15,6 +15,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from headgrid.session import shared_dir
 
 
+#: Rows whose texts and results a worker holds as Python objects.
+ROWS_AT_ONCE = 512
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -62,11 +66,13 @@ def map_texts(
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            columns = work(batch.column(len(keep)).to_pylist())
-            arrays = [batch.column(i) for i in range(len(keep))]
-            arrays += [pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[len(keep):])]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                columns = work(batch.column(len(keep)).to_pylist())
+                arrays = [batch.column(i) for i in range(len(keep))]
+                arrays += [pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[len(keep):])]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return arrow_map(docs.select(*keep, text), run, schema)
 
