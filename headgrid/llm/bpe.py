@@ -100,7 +100,9 @@ def decode(entries: list[bytes], ids: bytes | None) -> bytes:
     return b"".join([entries[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
 
 
-read_once = lru_cache(maxsize=4)(read_ranks)
+@lru_cache(maxsize=4)
+def read_once(path: str) -> list[bytes]:
+    return read_ranks(path)
 
 
 @lru_cache(maxsize=4)
