@@ -36,8 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
-    ids = bpe.bpe_encode(docs, MULTI_RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
-    both = bpe.bpe_decode(ids, MULTI_RANKS, keep=("doc_id", "lang", "source", "ids"))
+    both = bpe.bpe_round_trip(docs, MULTI_RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
     return both.select(
         "doc_id",
         "lang",

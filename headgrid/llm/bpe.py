@@ -136,3 +136,15 @@ def bpe_decode(
         return [[decode(entries, v) for v in values]]
 
     return map_texts(encoded, work, f"`{out}` binary", keep, ids_col)
+
+
+def bpe_round_trip(
+    docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text"
+) -> DataFrame:
+    """``keep``, ids as ``bpe_encode`` makes them, and the bytes decoded from them, with one worker for both."""
+
+    def work(texts):
+        ids, entries = codec(path, pattern).encode(texts), read_once(path)
+        return [ids, [decode(entries, i) for i in ids]]
+
+    return map_texts(docs, work, "ids binary, bytes binary", keep, text_col)

@@ -54,8 +54,7 @@ def op4_html_extract(spark, sf_dir):
 
 @query
 def op5_bpe(spark, sf_dir):
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
-    both = bpe.bpe_decode(ids, MULTI_RANKS)
+    both = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
