@@ -206,3 +206,13 @@ def test_mixing_edges(spark, edge, labels):
 def test_mixing_is_native(docs, labels):
     plan = mixing.mix_documents(docs, mixing.label_domains(labels), {"clean": 1.0})._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_broadcasts_have_a_bound():
+    import pathlib
+
+    root = pathlib.Path(mixing.__file__).parent
+    used = {p.name: p.read_text().count("F.broadcast(") for p in root.glob("*.py") if "F.broadcast(" in p.read_text()}
+    # the bit map has at most 512 rows of 4 KB; the sample is cut to 2 * per_class * classes rows of an id and a label
+    assert used == {"exact_dedup.py": 1, "common.py": 1}
+    assert not any("localCheckpoint" in p.read_text() or "crossJoin" in p.read_text() for p in root.glob("*.py"))
