@@ -28,9 +28,13 @@ def run_by_period(runs: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def working_version(versions: DataFrame) -> DataFrame:
-    """The working version, or no row."""
+    """The working version, or no row. Two of them break a rule; reading the result then fails."""
     columns = ["id", "label", "period_year", "period_month", "fc_horizon_months", "source_version_id", "created_at"]
-    return versions.where(F.col("status") == "working").select(*[c for c in columns if c in versions.columns]).limit(1)
+    working = versions.where(F.col("status") == "working").select(*[c for c in columns if c in versions.columns])
+    row = F.struct(*working.columns)
+    only = working.agg(F.count("*").alias("n"), F.first(row).alias("row")).where("n > 0")
+    checked = F.when(F.col("n") > 1, F.raise_error(F.lit("more than one working version"))).otherwise(F.col("row"))
+    return only.select(checked.alias("row")).select("row.*")
 
 
 def latest_completed_run(runs: DataFrame) -> DataFrame:

@@ -193,11 +193,11 @@ ORACLE["monthly_rollup_positive"] = _with(ENTRIES, _grid(extra="and fte > 0 and
 ORACLE["monthly_rollup_horizon"] = _with(ENTRIES, _grid("1999-01-01", "2000-06-01")) + "select * from rolled"
 ORACLE["actuals_rollup"] = _with(ACTUALS) + """select import_run_id, costcenter_id, cast(sum(fte) as decimal(38,4)) as total_fte, count(*) as headcount
 from employee_actuals group by import_run_id, costcenter_id"""
-ORACLE["rollup_grid"] = _with(ENTRIES, _grid(end="1998-06-01")) + "select costcenter_id" + "".join(
+ORACLE["rollup_grid"] = _with(ENTRIES, _grid()) + "select costcenter_id" + "".join(
     f""",
-  cast(sum(total_fte) filter (where month_start = date '1998-{m:02d}-01') as decimal(38,4)) as fte_1998_{m:02d},
-  cast(sum(headcount) filter (where month_start = date '1998-{m:02d}-01') as bigint) as heads_1998_{m:02d}"""
-    for m in range(1, 7)
+  cast(sum(total_fte) filter (where month_start = date '{y}-{m:02d}-01') as decimal(38,4)) as fte_{y}_{m:02d},
+  cast(sum(headcount) filter (where month_start = date '{y}-{m:02d}-01') as bigint) as heads_{y}_{m:02d}"""
+    for y, m in [(1998 + i // 12, i % 12 + 1) for i in range(18)]
 ) + "\nfrom rolled group by costcenter_id"
 ORACLE["hierarchy_rollup"] = _with(ENTRIES, COSTCENTERS, TREE) + f"""select a.id as costcenter_id, cast(sum(e.fte) as decimal(38,4)) as total_fte, count(*) as headcount
 from forecast_entries e join tree t on t.id = e.costcenter_id join tree a on list_contains(t.path_ids, a.id)
@@ -298,7 +298,7 @@ select 'c-' || cast(c_custkey as varchar) as key, coalesce(o_orderpriority, c_mk
   'o-' || cast(o_orderkey as varchar) as updated_by, o_orderkey as updated_seq
 from customer left join latest on o_custkey = c_custkey
 union all
-select 's-' || cast(s_suppkey as varchar), s_name, 'from a supplier', null, s_suppkey from supplier"""
+select 's-' || cast(s_suppkey as varchar), s_name || ' again', 'from a supplier', null, s_suppkey + 1000000000 from supplier"""
 
 TRACKED = ["employee_id", "container_id", "costcenter_id", "classification_id", "employee_group_id", "fte", "valid_from", "valid_to", "is_deleted"]
 ORACLE["audit_diff"] = _with(ENTRIES) + """, a as (select *, split_part(id, '-', 2) as k from forecast_entries where version_id = 'v3'),

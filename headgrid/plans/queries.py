@@ -103,7 +103,7 @@ def actuals_rollup(spark, sf_dir):
 
 @query
 def rollup_grid(spark, sf_dir):
-    return rollup.rollup_grid(derived.forecast_entries(spark, sf_dir), START, "1998-06-01", "v4")
+    return rollup.rollup_grid(derived.forecast_entries(spark, sf_dir), START, END, "v4")
 
 
 @query
@@ -325,7 +325,7 @@ def rollover_not_copied(spark, sf_dir):
 
 @query
 def upsert(spark, sf_dir):
-    """Customers hold one setting each; their orders change it, suppliers add new ones."""
+    """Customers hold one setting each, which their orders change; suppliers add new ones, named twice."""
     config = derived.read(spark, sf_dir, "customer").select(
         F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("key"),
         F.col("c_mktsegment").alias("value"),
@@ -347,7 +347,14 @@ def upsert(spark, sf_dir):
         F.lit(None).cast("string").alias("updated_by"),
         F.col("s_suppkey").alias("updated_seq"),
     )
-    batch = orders.unionByName(suppliers)
+    again = suppliers.withColumns(
+        {
+            "value": F.concat(F.col("value"), F.lit(" again")),
+            "description": F.lit("from a supplier again"),
+            "updated_seq": F.col("updated_seq") + 1_000_000_000,
+        }
+    )
+    batch = orders.unionByName(suppliers).unionByName(again)
     return upserts.upsert(config, batch, "key", ["value", "updated_by", "updated_seq"], "updated_seq")
 
 
@@ -554,7 +561,8 @@ def stream_scd2(spark, sf_dir):
 @query
 def stream_import(spark, sf_dir):
     root = _scratch(spark, "stream-import")
-    write_json(_import_rows(spark, sf_dir), f"{root}/drop")
+    named = _import_rows(spark, sf_dir).withColumns({c: F.col("employee_id") for c in ("first_name", "last_name")})
+    write_json(named, f"{root}/drop")
     rows = import_stream.read_drop_folder(spark, f"{root}/drop")
     import_stream.stream_import(rows, f"{root}/table", f"{root}/progress", "importer", NOW).awaitTermination()
     runs = import_stream.read_loaded(spark, f"{root}/table", "import_runs")

@@ -75,8 +75,9 @@ class Import:
 
     @property
     def violations(self) -> DataFrame:
-        """Broken rules of the rows to append: FTE range, missing values, an employee twice in a run."""
-        return check_table("employee_actuals", conform(self.actuals, "employee_actuals"))
+        """Broken rules of the rows and headers to append: FTE range, missing values, an employee twice in a run, periods."""
+        rows = check_table("employee_actuals", conform(self.actuals, "employee_actuals"))
+        return rows.unionByName(check_table("import_runs", conform(self.runs, "import_runs")))
 
 
 def import_actuals(runs: DataFrame, batch: DataFrame, user: str, at: dt.datetime, source_file: str | None = None) -> Import:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from headgrid.operators.versions import Rollover
 from headgrid.schema import TABLES
-from headgrid.sources.imports import Import
+from headgrid.session import cut
+from headgrid.sources.imports import PERIOD, Import, PeriodExists
 from headgrid.sources.tables import conform, write_table
 
 COMMITS = "commits"
@@ -86,13 +89,18 @@ def publish_rollover(done: Rollover, root: str) -> None:
 def publish_import(load: Import, root: str) -> None:
     """Publish a monthly load: the actuals first, the run headers last.
 
-    Nothing is written if a row breaks a rule.
+    The load is computed once. Nothing is written if a row or a header breaks a rule, or if a
+    month has been published since the load was prepared.
     """
+    load = replace(load, actuals=cut(load.actuals), runs=cut(load.runs))
     found = load.violations.take(5)
     if found:
         raise RuleViolation(f"not published: {found}")
-    write_table(load.actuals, root, "employee_actuals", only_its_partitions=True)
     runs = read_generation(load.runs.sparkSession, root, "import_runs")
+    there = load.runs.select(*PERIOD).join(runs.select(*PERIOD), PERIOD, "left_semi").take(5)
+    if there:
+        raise PeriodExists(f"published before: {there}")
+    write_table(load.actuals, root, "employee_actuals", only_its_partitions=True)
     publish_generation(runs.unionByName(conform(load.runs, "import_runs")), root, "import_runs")
 
 

@@ -7,31 +7,36 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from headgrid.operators.rules import check_table
 from headgrid.schema import IMPORT_ROW, TABLES
 from headgrid.session import cut
 from headgrid.sources.imports import import_actuals
-from headgrid.sources.publish import commit_batch, is_committed, read_appended, write_batch
+from headgrid.sources.publish import RuleViolation, commit_batch, is_committed, read_appended, write_batch
 from headgrid.sources.tables import conform
 
 DROP_ROW = T.StructType([*IMPORT_ROW.fields]).add("period_year", T.ShortType()).add("period_month", T.ShortType())
 
 
-def read_drop_folder(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of import rows from JSON-lines files; a broken line stops the load."""
-    reader = spark.readStream.schema(DROP_ROW).option("mode", "FAILFAST")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+def read_drop_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of import rows from JSON-lines files; a broken line stops the load.
+
+    There is no limit on files per batch: the files of a month that are there at the start
+    are loaded together, or those of the second batch would be refused.
+    """
+    return spark.readStream.schema(DROP_ROW).option("mode", "FAILFAST").json(path)
 
 
 def load_drop_batch(rows: DataFrame, batch: int, root: str, user: str, at: dt.datetime) -> None:
-    """Load one micro-batch. Months that have a run already are kept under ``refused``."""
+    """Load one micro-batch. Months that have a run already are kept under ``refused``; a row that breaks a rule stops the load."""
     spark = rows.sparkSession
     if is_committed(spark, root, batch):
         return
     rows = cut(rows)
     runs = read_appended(spark, root, "import_runs", TABLES["import_runs"])
     load = import_actuals(runs, rows, user, at)
+    broken = check_table("employee_actuals", conform(load.actuals, "employee_actuals")).take(5)
+    if broken:
+        raise RuleViolation(f"not loaded: {broken}")
     write_batch(conform(load.actuals, "employee_actuals"), root, "employee_actuals", batch)
     write_batch(load.refused, root, "refused", batch)
     write_batch(conform(load.runs, "import_runs"), root, "import_runs", batch)

@@ -352,3 +352,19 @@ def test_version_chain(spark):
     ring = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, source_version_id string")
     with pytest.raises(ValueError, match="cycle"):
         hierarchy.version_chain(ring, spark.createDataFrame([("a",)], "start_id string"))
+
+
+def test_upsert_of_a_repeated_new_key_is_one_after_the_other(spark):
+    config = spark.createDataFrame([("known", "1", "kept")], "key string, value string, description string")
+    batch = spark.createDataFrame(
+        [("new", "zzz", "first desc", 1), ("new", "aaa", "second desc", 2), ("known", "9", "other", 1), ("known", "5", "more", 2)],
+        "key string, value string, description string, seq long",
+    )
+    got = {r.key: (r.value, r.description) for r in upsert.upsert(config, batch, "key", ["value"], "seq").collect()}
+    assert got == {"new": ("aaa", "first desc"), "known": ("5", "kept")}
+
+
+def test_two_working_versions_are_an_error(spark):
+    two = spark.createDataFrame([("a", "working"), ("b", "working")], "id string, status string")
+    with pytest.raises(Exception, match="more than one working version"):
+        lookup.working_version(two).collect()

@@ -171,3 +171,31 @@ def test_stream_import_refuses_loaded_months(spark, tmp_path):
     assert sorted((r.period_month, r.row_count) for r in runs) == [(1, 2), (2, 1), (3, 1)]
     assert import_stream.read_loaded(spark, root, "employee_actuals").count() == 4
     assert [(r.employee_id, r.period_month) for r in import_stream.refused_rows(spark, root).collect()] == [("A", 2)]
+
+
+def test_headers_are_checked_and_a_repeated_publish_is_refused(spark, tmp_path):
+    import datetime as dt
+
+    import pytest
+
+    from headgrid.schema import TABLES
+    from headgrid.sources.imports import PeriodExists, import_actuals
+    from headgrid.sources.publish import RuleViolation, publish_import
+    from headgrid.streaming.imports import DROP_ROW
+
+    runs = spark.createDataFrame([], TABLES["import_runs"])
+
+    def load(year, month):
+        values = {"employee_id": "A", "first_name": "Ada", "last_name": "L", "costcenter_id": "c1", "classification_id": "k", "period_year": year, "period_month": month}
+        row = tuple(Decimal("1.0000") if f.name == "fte" else values.get(f.name) for f in DROP_ROW.fields)
+        return import_actuals(runs, spark.createDataFrame([row], DROP_ROW), "u", dt.datetime(2025, 2, 1))
+
+    from decimal import Decimal
+
+    for year, month in ((2025, 13), (1950, 1), (None, 1)):
+        with pytest.raises(RuleViolation):
+            publish_import(load(year, month), str(tmp_path))
+    again = load(2025, 1)
+    publish_import(again, str(tmp_path))
+    with pytest.raises(PeriodExists):
+        publish_import(again, str(tmp_path))
