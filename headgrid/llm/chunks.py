@@ -5,20 +5,29 @@ mix white space with other characters. So where words are separated by single sp
 feeds, a pre-token never reaches across the start of a space or a line feed, and each word with
 the space before it can be cut on its own. Words repeat; a worker remembers their ids, and those of pre-tokens. Texts
 with other white space at their ends or in a row are cut as a whole.
+
+Arrow cuts a group of texts and numbers its different words, so that Python looks up each of them
+once a group; the ids of the texts are then gathered by number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import filterfalse, repeat
+from itertools import filterfalse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Words and pre-tokens that a worker remembers, and the longest one that it does.
 MEMO = 150_000
 LONGEST = 64
-#: Texts worked on at a time.
-GROUP = 256
+#: Texts worked on at a time, and characters after which a group ends; one text is never cut.
+GROUP = 4096
+GROUP_CHARS = 1 << 24
+#: Words whose ids are gathered at a time.
+GATHER = 1 << 18
 EDGES = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -74,26 +83,29 @@ class ChunkEncoder:
 
     def _group(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        words, rest = {}, []
+        plain, rest = [], []
         for at, text in enumerate(texts):
-            if text and even(text) and not self.special(text):
-                words[at] = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            elif text:
-                rest.append(at)
+            if text:
+                (plain if even(text) and not self.special(text) else rest).append(at)
+        parts = {}
         if rest and self.whole:
             for at, found in zip(rest, self.whole([texts[at] for at in rest])):
                 out[at] = found
         else:
-            words.update((at, self.pattern.findall(texts[at])) for at in rest)
+            parts = {at: self.pattern.findall(texts[at]) for at in rest}
+        words, numbers, ends = numbered_words([texts[at] for at in plain])
         if len(self.known) > self.memo:
             self.known.clear()
-        new: dict[str, None] = {}
-        for parts in words.values():
-            new.update(zip(filterfalse(self.known.__contains__, parts), repeat(None)))
+        unknown = self.known.__contains__
+        new = dict.fromkeys(filterfalse(unknown, words))
+        for found in parts.values():
+            new.update(dict.fromkeys(filterfalse(unknown, found)))
         self._learn(list(new))
         ids = self.known.__getitem__
-        for at, parts in words.items():
-            out[at] = b"".join(map(ids, parts))
+        for at, found in parts.items():
+            out[at] = b"".join(map(ids, found))
+        for at, found in zip(plain, gathered(list(map(ids, words)), numbers, ends)):
+            out[at] = found
         for word in new:
             if len(word) > LONGEST:
                 del self.known[word]
@@ -101,4 +113,37 @@ class ChunkEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
-        return [found for at in range(0, len(texts), GROUP) for found in self._group(texts[at : at + GROUP])]
+        out: list[bytes] = []
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text or "")
+            if len(held) == GROUP or chars > GROUP_CHARS:
+                out += self._group(held)
+                held, chars = [], 0
+        return out + self._group(held)
+
+
+def numbered_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words of even texts, the number of each word in order, and where each text's words end."""
+    marked = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", "\0\n\0")
+    lists = pc.split_pattern(pc.replace_substring(marked, " ", "\0 "), "\0")
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.asarray(lists.offsets)[1:]
+
+
+def gathered(ids: list[bytes], numbers: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids of each text: those of its words, by their numbers."""
+    pool = np.frombuffer(b"".join(ids), dtype="<u4")
+    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    start = np.cumsum(size) - size
+    parts, marks = [], [np.zeros(1, dtype=np.int64)]
+    for at in range(0, len(numbers), GATHER):
+        some = numbers[at : at + GATHER]
+        n = size[some]
+        upto = np.cumsum(n)
+        parts.append(pool[np.arange(upto[-1]) + np.repeat(start[some] - upto + n, n)].tobytes())
+        marks.append(marks[-1][-1] + upto)
+    joined, marks = b"".join(parts), np.concatenate(marks)
+    cuts = [0, *(4 * marks[ends]).tolist()]
+    return [joined[a:b] for a, b in zip(cuts, cuts[1:])]
