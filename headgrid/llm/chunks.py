@@ -24,8 +24,8 @@ import regex
 MEMO = 150_000
 LONGEST = 64
 #: Texts worked on at a time, and characters after which a group ends; one text is never cut.
-GROUP = 4096
-GROUP_CHARS = 1 << 24
+GROUP = 2048
+GROUP_CHARS = 1 << 23
 #: Words whose ids are gathered at a time.
 GATHER = 1 << 18
 EDGES = ("  ", " \n", "\n ", "\n\n")
