@@ -38,7 +38,7 @@ from headgrid.llm.common import arrow_map
 FRAME_IDS = 1 << 16
 LEVEL = 3
 #: Words and pre-tokens that a worker remembers: the library is slow on new ones.
-MEMO = 500_000
+MEMO = 650_000
 #: Most tasks that read files; each reads its files one after the other.
 READ_TASKS = 10_000
 #: Fixed values of the seekable format.
