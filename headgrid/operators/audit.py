@@ -25,6 +25,8 @@ TRACKED = (
     "is_deleted",
 )
 CHANGE_MAP = "map<string,struct<old:string,new:string>>"
+# Field under which the record of a removed row keeps the whole row (fixed value).
+SNAPSHOT = "deleted_snapshot"
 
 
 def field_change(name: str, old: Column, new: Column) -> Column:
@@ -51,17 +53,19 @@ def audit_diff(
 
     A new row gives INSERT without fields. A changed row gives the changed columns
     with old and new value; a switch of ``is_deleted`` makes it DELETE or RESTORE. A
-    row without a tracked change gives nothing. Rows that vanish give nothing
-    either: rows are flagged, never removed. A NULL ``changed_by`` is an error.
+    row without a tracked change gives nothing. A row that is only in ``before`` gives
+    DELETE with all its columns as JSON, the old value of ``deleted_snapshot``; so both
+    sides must cover the same scope. A NULL ``changed_by`` is an error.
     """
     actor = F.lit(changed_by) if isinstance(changed_by, str) else changed_by
     names = [c for c in tracked if c in before.columns and c in after.columns]
-    old = before.select(F.col(key).alias("key"), F.struct(*names).alias("old"))
-    carried = ["version_id"] if "version_id" in after.columns else []
-    new = after.select(F.col(key).alias("key"), F.struct(*names).alias("new"), *carried)
-    pair = new.join(old, "key", "left")
+    old = before.select(F.col(key).alias("key"), F.struct(*before.columns).alias("old"))
+    carried = [f"{side}.version_id" for side, df in (("new", after), ("old", before)) if "version_id" in df.columns]
+    scope = ["version_id"] if "version_id" in after.columns and "version_id" not in names else []
+    new = after.select(F.col(key).alias("key"), F.struct(*names, *scope).alias("new"))
+    pair = new.join(old, "key", "full")
     differing = reduce(lambda a, b: a | b, [distinct_from(F.col(f"old.{c}"), F.col(f"new.{c}")) for c in names])
-    is_new = F.col("old").isNull()
+    is_new, is_gone = F.col("old").isNull(), F.col("new").isNull()
     entries = [
         F.struct(
             F.lit(c).alias("key"),
@@ -73,16 +77,18 @@ def audit_diff(
         for c in names
     ]
     kept = F.filter(F.array(*entries), lambda e: distinct_from(e["value"]["old"], e["value"]["new"]))
-    action = F.when(is_new, "INSERT")
+    snapshot = F.struct(F.to_json("old", {"ignoreNullFields": "false"}).alias("old"), F.lit(None).cast("string").alias("new"))
+    changes = F.when(is_gone, F.create_map(F.lit(SNAPSHOT), snapshot)).when(~is_new, F.map_from_entries(kept))
+    action = F.when(is_new, "INSERT").when(is_gone, "DELETE")
     if "is_deleted" in names:
         action = action.when(F.col("old.is_deleted") & ~F.col("new.is_deleted"), "RESTORE").when(
             ~F.col("old.is_deleted") & F.col("new.is_deleted"), "DELETE"
         )
-    records = pair.where(is_new | differing).select(
+    records = pair.where(is_new | is_gone | differing).select(
         F.col("key").alias("forecast_entry_id"),
-        (F.col("version_id") if carried else F.lit(None).cast("string")).alias("version_id"),
+        F.coalesce(*carried, F.lit(None).cast("string")).alias("version_id"),
         action.otherwise("UPDATE").alias("action"),
-        F.when(~is_new, F.map_from_entries(kept)).cast(CHANGE_MAP).alias("changed_fields"),
+        changes.cast(CHANGE_MAP).alias("changed_fields"),
         F.coalesce(actor, F.raise_error(F.lit("an audited change needs an actor")).cast("string")).alias("changed_by"),
         changed_at.alias("changed_at"),
     )

@@ -309,7 +309,10 @@ both_sides as (select """.replace("\n, a as", ", a as") + ", ".join(f"a.{c} as o
 """ + "\nunion all ".join(
     f"select k as forecast_entry_id, action, '{c}' as field, cast(old_{c} as varchar) as old, cast(new_{c} as varchar) as new from both_sides where old_{c} is distinct from new_{c}"
     for c in TRACKED
-) + "\nunion all select k, 'INSERT', null, null, null from b where k not in (select k from a)"
+) + """
+union all select k, 'INSERT', null, null, null from b where k not in (select k from a)
+union all select k, 'DELETE', 'deleted_snapshot', concat_ws('|', id, costcenter_id, cast(fte as varchar), cast(valid_from as varchar), cast(is_deleted as varchar)), null
+from a where k not in (select k from b)"""
 ORACLE["audit_explode"] = _with(MIXED_FEED, FEED_AUDIT) + "select forecast_entry_id, action, field, old, new from feed_audit where action <> 'INSERT'"
 ORACLE["audit_entry_history"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select forecast_entry_id, action, changed_by, {TIME_TEXT} as changed_at from feed_audit
 where forecast_entry_id in (select id from feed_rows where is_deleted)"""

@@ -363,13 +363,16 @@ def upsert(spark, sf_dir):
 
 @query
 def audit_diff(spark, sf_dir):
-    """Rows of one version against the next, matched by order, in long form."""
+    """Rows of one version against the next, matched by order, in long form; of a removed row, parts of its snapshot."""
     entries = derived.forecast_entries(spark, sf_dir)
     order = F.substring_index("id", "-", -1).alias("order_id")
     before = entries.where("version_id = 'v3'").withColumn("order_id", order)
     after = entries.where("version_id = 'v4'").withColumn("order_id", order)
     records = audit.audit_diff(before, after, "planner", F.lit(NOW), key="order_id")
-    fields = audit.audit_explode(records).select("forecast_entry_id", "action", "field", "old", "new")
+    kinds = {"id": "string", "costcenter_id": "string", "fte": "decimal(38,4)", "valid_from": "string", "is_deleted": "string"}
+    parts = [F.get_json_object("old", f"$.{c}").cast(kind).cast("string") for c, kind in kinds.items()]
+    old = F.when(F.col("field") == audit.SNAPSHOT, F.concat_ws("|", *parts)).otherwise(F.col("old"))
+    fields = audit.audit_explode(records).select("forecast_entry_id", "action", "field", old.alias("old"), "new")
     inserted = records.where("action = 'INSERT'").select(
         "forecast_entry_id", "action", *[F.lit(None).cast("string").alias(c) for c in ("field", "old", "new")]
     )

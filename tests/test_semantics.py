@@ -1,6 +1,7 @@
 """One small case per rule of the data model."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
@@ -204,6 +205,15 @@ def test_audit_skips_no_ops_and_untracked_columns(entries):
     assert [(r.forecast_entry_id, r.action, dict(r.changed_fields)["fte"].new) for r in got] == [("y", "UPDATE", "0.5000")]
 
 
+def test_audit_keeps_removed_rows(entries):
+    before = entries(dict(id="x", valid_from="2025-01"), dict(id="y", employee="B", valid_from="2025-01"))
+    (got,) = audit.audit_diff(before, before.where("id = 'x'"), "u", F.lit(NOW)).collect()
+    assert (got.forecast_entry_id, got.version_id, got.action) == ("y", "v1", "DELETE")
+    (change,) = got.changed_fields.values()
+    row = json.loads(change.old)
+    assert set(row) == set(before.columns) and (row["employee_id"], row["valid_to"], change.new) == ("B", None, None)
+
+
 def test_audit_needs_an_actor(entries):
     rows = entries(dict(id="x", valid_from="2025-01"))
     with pytest.raises(Exception, match="actor"):
