@@ -16,7 +16,7 @@ from headgrid.llm.queries import BUDGET, MULTI_RANKS, TARGETS, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject."""
-    return quality_rules.keep_good(docs)
+    return quality_rules.keep_good(docs, quality_rules.CORPUS_BANDS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def op2_language_id(spark, sf_dir):
 
 @query
 def op3_quality_rules(spark, sf_dir):
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.CORPUS_BANDS)
 
 
 @query

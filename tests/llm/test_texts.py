@@ -70,6 +70,25 @@ def test_bands_reject_repetition_and_noise():
     assert quality_rules.compression(mixed)[3] > 0
 
 
+@pytest.mark.parametrize("bands", [quality_rules.BANDS, quality_rules.CORPUS_BANDS])
+def test_every_band_rejects_noise_and_repetition(bands):
+    draw = random.Random(4)
+    signs, base62 = [chr(c) for c in range(32, 127)], [chr(c) for c in range(48, 123) if chr(c).isalnum()]
+    for size, _, _ in bands.whole:
+        noise = "".join(draw.choices(signs, k=size))
+        words = " ".join("".join(draw.choices(base62, k=draw.randint(3, 10))) for _ in range(size // 4))[:size]
+        again = ("".join(draw.choices(base62, k=12)) + " ") * (size // 13 + 1)
+        assert not quality_rules.compression(noise, bands)[0], size
+        assert not quality_rules.compression(again[:size], bands)[0], size
+        assert size < 192 or not quality_rules.compression(words, bands)[0], size
+
+
+def test_corpus_bands_decide(docs, labels):
+    rows = quality_rules.quality_rules(docs, bands=quality_rules.CORPUS_BANDS).join(labels, "doc_id").where("not base_failed")
+    found = {r["quality"]: r for r in rows.groupBy("quality").agg(F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("out")).collect()}
+    assert found[1]["out"] <= 0.01 * found[1]["n"] and found[0]["out"] >= 0.3 * found[0]["n"]
+
+
 def test_rules_edges(spark, edge):
     rows = quality_rules.quality_rules(edge).collect()
     assert len(rows) == len(EDGE) and not any(r["kept"] for r in rows)
