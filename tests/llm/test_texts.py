@@ -139,6 +139,16 @@ def test_toxicity_separates_planted_insults(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-9 for r in found.collect())
 
 
+def test_toxicity_keeps_rare_insults(spark):
+    draw = random.Random(6)
+    plain = [f"{a}{b}{c}" for a in ("ba", "do", "ke", "mi") for b in ("ra", "lo", "tu", "ni") for c in "lmnrst"]
+    rows = [(i, " ".join(draw.choices(plain, k=30) + ["zoink"] * (i % 200 == 0) + ["often"] * (i % 10 == 0))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(3000)], NO_LABELS)
+    ratios = toxicity.fit_toxicity(docs, labels, F.lit(True)).ratios
+    assert ratios["zoink"] > 1 and ratios["often"] > 1 and max(abs(ratios[w]) for w in plain) < 0.5
+
+
 def test_quality_rank_held_out(docs, labels):
     found = quality_rank.quality_rank(docs, labels).join(labels, "doc_id").where("held_out")
     assert found.where("predicted = quality").count() / found.count() > 0.97
