@@ -244,8 +244,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
     )
 
 
-def slots(html: str | None, skeleton: set[int], nested: set[int]) -> list[tuple[int, bool, str]]:
-    """(slot, main, text) of the text blocks between template tokens; the slot counts skeleton tokens passed."""
+def slots(html: str | None, skeleton: set[int], nested: set[int]) -> list[tuple[int, bool, bool, str]]:
+    """(slot, main, constant, text) of the text blocks; the slot counts skeleton tokens passed, constant blocks are template."""
     out, slot, seen = [], 0, set()
     for kind, path, text, dropped, main in parse(html):
         name = _signed(_name(kind, path, text))
@@ -253,17 +253,21 @@ def slots(html: str | None, skeleton: set[int], nested: set[int]) -> list[tuple[
             slot += 1
             seen.add(name)
         if kind == 0 and not dropped:
-            constant = name in skeleton or name in nested
-            if main or not constant:
-                out.append((slot, main, text))
+            out.append((slot, main, name in skeleton or name in nested, text))
     return out
 
 
 def main_text(html: str | None, skeleton: set[int], nested: set[int]) -> str:
-    """Text of the slots inside the main elements, or of all remaining slots if a page has none."""
-    found = slots(html, skeleton, nested) or slots(html, set(), set())
-    inside = [text for _, main, text in found if main]
-    return "\n".join(inside or [text for _, _, text in found])
+    """Text of the slots inside the main elements, or of all remaining slots if a page has none.
+
+    Template text is left out, inside the main elements only if it is less than what is left: else it is a copied article.
+    """
+    found = slots(html, skeleton, nested)
+    inside = [(constant, text) for _, main, constant, text in found if main]
+    if inside:
+        own = [text for constant, text in inside if not constant]
+        return "\n".join(own if 2 * sum(map(len, own)) > sum(len(text) for _, text in inside) else [text for _, text in inside])
+    return "\n".join([text for _, _, constant, text in found if not constant] or [text for _, _, _, text in found])
 
 
 def extract_text(
@@ -272,7 +276,7 @@ def extract_text(
     """id, url, ``keep`` and text of every row of ``pages``.
 
     Text inside elements that are no part of an article (by tag, class, id or role) is left out;
-    text that is part of the host's template is left out unless it stands in the main element.
+    text that is part of the host's template is left out too, unless it is most of the main element's text.
 
     * A null html is an empty page; its text is empty, as is that of pages without an article's text.
     * Pages without a readable host in their url, or with a null url, count as one host. A host with

@@ -189,6 +189,14 @@ def test_pages_and_templates(spark):
     assert html_extract.extract_text(pages.limit(0)).collect() == []
 
 
+def test_template_text_inside_the_article(spark):
+    body = "<html><body><main><h1>{0}</h1><p>{1}</p><p>Like what you read? Subscribe</p></main><div><p>Imprint</p></div></body></html>"
+    texts = [f"a long story number {i} that no other page of the host tells" for i in range(4)] + ["one story that</p><p>several pages</p><p>copy word for word"] * 6
+    rows = [(i, f"https://h.example/{i}", body.format(f"t {i}", t)) for i, t in enumerate(texts)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"t 1\n{texts[1]}" and all(part in got[i] for i in got for part in texts[i].split("</p><p>"))
+
+
 def test_rates_equal_brute_force(spark):
     draw = random.Random(5)
     rows = []
