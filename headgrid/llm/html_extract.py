@@ -176,7 +176,9 @@ def parse(html: str | None) -> list[tuple[int, str, str, bool, bool]]:
             at = close.start() if close else end
             if not close:
                 break
-        if not found[0].endswith("/>") or tag not in ("svg", "path", "use"):
+        if found[0].endswith("/>") and tag in ("svg", "path", "use"):
+            out.append((2, element.path, "", element.dropped, element.main))
+        else:
             stack.append(element)
     flush()
     pop(0)

@@ -189,6 +189,13 @@ def test_pages_and_templates(spark):
     assert html_extract.extract_text(pages.limit(0)).collect() == []
 
 
+def test_template_with_an_inline_icon(spark):
+    body = "<html><body><div><svg><path d='M0'/></svg><p>Welcome to us</p></div><div><p>{0}</p></div></body></html>"
+    rows = [(i, f"https://h.example/{i}", body.format(f"story {i}")) for i in range(6)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["text"] for r in got) == [f"story {i}" for i in range(6)]
+
+
 def test_template_text_inside_the_article(spark):
     body = "<html><body><main><h1>{0}</h1><p>{1}</p><p>Like what you read? Subscribe</p></main><div><p>Imprint</p></div></body></html>"
     texts = [f"a long story number {i} that no other page of the host tells" for i in range(4)] + ["one story that</p><p>several pages</p><p>copy word for word"] * 6
