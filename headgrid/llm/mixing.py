@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -121,6 +122,7 @@ def fit_rates(rows: DataFrame, mix: Mix, targets: dict[str, float], budget: floa
     """Fit ``mix.steps``; ``rows`` have tokens and the columns of ``mix.members()``. Returns ``rows`` with rate.
 
     ``targets`` are weights of domains, scaled to sum 1 over the domains that were learned; others are 0.
+    A fit that the step limit ends warns of what is left; ``mix.totals["error"]`` is the largest miss as a share of all words.
     """
     members = mix.members()
     sums = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(m)) for m in members]).first()
@@ -144,7 +146,10 @@ def fit_rates(rows: DataFrame, mix: Mix, targets: dict[str, float], budget: floa
             held, pending = stored(rated, "rates"), []
             rated = held
         now = [float(s or 0.0) for s in rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col(m)) for m in members]).first()]
-    mix.totals |= {"goal": dict(zip(mix.domains, goal)), "after": dict(zip(mix.domains, now))}
+    error = max(abs(s - g) for s, g in zip(now, goal)) / n
+    mix.totals |= {"goal": dict(zip(mix.domains, goal)), "after": dict(zip(mix.domains, now)), "error": error}
+    if error > tolerance:
+        warnings.warn(f"mixing rates after {len(mix.steps)} steps miss a target by {error:.6f} of all words, tolerance {tolerance}", stacklevel=2)
     return held.withColumn("rate", rate_of(mix, members, pending, F.col("rate"))) if pending else held
 
 

@@ -228,6 +228,14 @@ def test_rates_equal_brute_force(spark):
     assert sum((after[d] - goals[d]) ** 2 for d in goals) < 0.2 * sum((before[d] - goals[d]) ** 2 for d in goals)
 
 
+def test_unfinished_fit_is_reported(spark):
+    frame = spark.createDataFrame([(1, 100, 0.51, 0.49), (2, 100, 0.49, 0.51)], "id long, tokens long, p_0 double, p_1 double")
+    mix = mixing.Mix(["a", "b"], [], [])
+    with pytest.warns(UserWarning, match="after 5 steps miss a target"):
+        mixing.fit_rates(frame, mix, {"a": 0.9, "b": 0.1}, steps=5)
+    assert mix.totals["error"] > 0.1
+
+
 def test_mixing_meets_targets(docs, labels):
     rates, mix = mixing.mixing_rates(docs, mixing.label_domains(labels), {"clean": 0.9, "poor": 0.07, "toxic": 0.03}, 1.25)
     row = rates.agg(F.sum("tokens").alias("n"), *[F.sum(F.expr(f"rate * tokens * p_{d}")).alias(d) for d in mix.domains]).first()
