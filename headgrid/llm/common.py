@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -43,6 +43,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def positions(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with their place (from 0, column ``name``) in the ascending ``order``, nulls first.
+
+    Rows are sorted in ranges and stored; a row's place is its number within its range plus the
+    rows of the ranges before, of which there are as many as tasks. Rows equal in ``order`` have
+    some order among themselves. Narrow rows are best: the sort reads its input twice.
+    """
+    at, run, ahead = (fresh(rows, n) for n in ("at_", "run_", "ahead_"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    ordered = stored(ordered, "ordered")
+    # monotonically_increasing_id has the task in its upper 31 bits and the row in the lower 33.
+    task, within = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    runs = ordered.groupBy(task.alias(run)).agg(F.count("*").alias("n"))
+    earlier = Window.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(run, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(ahead))
+    return ordered.join(F.broadcast(runs), task == F.col(run)).withColumn(name, within + F.col(ahead)).drop(at, run, ahead)
+
+
+def row_digest(columns: Sequence[str | Column]) -> Column:
+    """SHA-256 (hex) over columns: `-` for null, else byte count, `:` and the value as text."""
+
+    def field(column):
+        value = (F.col(f"`{column}`") if isinstance(column, str) else column).cast("string")
+        return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.sha2(F.concat(*[field(c) for c in columns]), 256)
+
+
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow``; workers that Spark starts on this machine find the package where the driver did."""
     context = df.sparkSession.sparkContext

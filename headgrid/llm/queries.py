@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headgrid.llm import bpe, exact_dedup, html_extract, langid, mixing, quality_rank, quality_rules, simhash, token_files, toxicity
+from headgrid.llm import bpe, exact_dedup, html_extract, langid, merkle, mixing, quality_rank, quality_rules, simhash, token_files, toxicity
 from headgrid.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,75 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_quality_rank(spark, sf_dir):
     return quality_rank.quality_rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = merkle.row_digest(["doc_id", "source", "lang", F.col("n_chars") + 1, "text"])
+    docs = docs.withColumn("claim", F.when(tampered, claim))
+    manifest = merkle.build_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], keep=("claim",))
+    found = merkle.prove(manifest)
+    folded = merkle.fold(F.coalesce("keep_0", "leaf"), F.col("path"))
+    found = found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE["op11_merkle_manifest"] = """
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+         coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') AS size,
+         coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1)::varchar, '-') AS other_size,
+         coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM documents),
+hashed AS (SELECT doc_id, tree, rank, sha256(head || size || body) AS leaf, sha256(head || other_size || body) AS other FROM leaves),
+lower_nodes AS (
+  SELECT tree, 0 AS level, rank, leaf AS digest FROM hashed
+  UNION ALL
+  SELECT tree, level + 1, rank // 2, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS here FROM lower_nodes) x WHERE here > 1 GROUP BY tree, level, rank // 2),
+subroots AS (SELECT tree, arg_max(digest, level) AS subroot, max(level) AS height FROM lower_nodes GROUP BY tree),
+upper_nodes AS (
+  SELECT 0 AS level, tree AS rank, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, rank // 2, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM (SELECT *, count(*) OVER () AS here FROM upper_nodes) x WHERE here > 1 GROUP BY level, rank // 2),
+top AS (SELECT arg_max(digest, level) AS root, max(level) AS height FROM upper_nodes),
+ways AS (
+  SELECT h.tree, h.rank, s.level AS spot, s.level, h.rank // (1 << s.level) AS place, false AS upper
+  FROM hashed h JOIN subroots r USING (tree) JOIN (SELECT DISTINCT level FROM lower_nodes) s ON s.level < r.height
+  UNION ALL
+  SELECT h.tree, h.rank, 1000 + s.level, s.level, h.tree // (1 << s.level), true
+  FROM hashed h CROSS JOIN top t JOIN (SELECT DISTINCT level FROM upper_nodes) s ON s.level < t.height),
+siblings AS (
+  SELECT w.tree, w.rank, w.spot, w.place % 2 = 1 AS is_left, coalesce(l.digest, u.digest, '') AS digest
+  FROM ways w
+  LEFT JOIN lower_nodes l ON NOT w.upper AND l.tree = w.tree AND l.level = w.level AND l.rank = xor(w.place, 1)
+  LEFT JOIN upper_nodes u ON w.upper AND u.level = w.level AND u.rank = xor(w.place, 1)),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY tree, rank ORDER BY spot) AS step FROM siblings),
+proofs AS (SELECT tree, rank, sha256(string_agg(digest, '' ORDER BY step)) AS proof, max(step) AS n FROM steps GROUP BY tree, rank),
+crc_table AS (
+  SELECT i AS byte, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS value
+  FROM (SELECT unnest(range(0, 256))::bigint AS i) b),
+crc AS (
+  SELECT doc_id, doc_id::varchar AS digits, 0 AS done, 4294967295::bigint AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, digits, done + 1, xor(t.value, c // 256)
+  FROM crc JOIN crc_table t ON t.byte = xor(c % 256, ascii(substr(digits, done + 1, 1))::bigint) WHERE done < length(digits)),
+marked AS (SELECT doc_id FROM crc WHERE done = length(digits) AND xor(c, 4294967295) % 7 = 0),
+folded AS (
+  SELECT tree, rank, 0 AS step, CASE WHEN doc_id IN (SELECT doc_id FROM marked) THEN other ELSE leaf END AS node FROM hashed
+  UNION ALL
+  SELECT f.tree, f.rank, f.step + 1, sha256(CASE WHEN s.is_left THEN s.digest || f.node ELSE f.node || s.digest END)
+  FROM folded f JOIN steps s ON s.tree = f.tree AND s.rank = f.rank AND s.step = f.step + 1)
+SELECT h.doc_id, h.leaf, r.subroot, t.root, coalesce(p.proof, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = t.root AS verified
+FROM hashed h JOIN subroots r USING (tree) CROSS JOIN top t LEFT JOIN proofs p ON p.tree = h.tree AND p.rank = h.rank
+JOIN folded f ON f.tree = h.tree AND f.rank = h.rank AND f.step = coalesce(p.n, 0)
+"""
