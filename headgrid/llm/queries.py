@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headgrid.llm import bpe, exact_dedup, html_extract, langid, merkle, mixing, quality_rank, quality_rules, simhash, token_files, toxicity
+from headgrid.llm import bpe, exact_dedup, hilbert, html_extract, langid, merkle, mixing, quality_rank, quality_rules, simhash, token_files, toxicity
 from headgrid.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,20 @@ def op11_merkle_manifest(spark, sf_dir):
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+#: One row: the values of CRC-32 for each byte, by its polynomial.
+CRC_TABLE = """crc_table AS (
+  SELECT list(value ORDER BY byte) AS crc_values FROM (
+    SELECT i AS byte, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS value
+    FROM (SELECT unnest(range(0, 256))::bigint AS i) b) v)"""
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, beside ``crc_table``."""
+    steps = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: ('0x' || h)::bigint)"
+    start = f"list_prepend(4294967295::bigint, {steps})"
+    return f"xor(list_reduce({start}, lambda c, x: xor(crc_values[xor(c & 255, x) + 1], c >> 8)), 4294967295)"
+
+
 ORACLE["op11_merkle_manifest"] = """
 WITH RECURSIVE leaves AS (
   SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank,
@@ -155,15 +169,8 @@ siblings AS (
 steps AS (
   SELECT *, row_number() OVER (PARTITION BY tree, rank ORDER BY spot) AS step FROM siblings),
 proofs AS (SELECT tree, rank, sha256(string_agg(digest, '' ORDER BY step)) AS proof, max(step) AS n FROM steps GROUP BY tree, rank),
-crc_table AS (
-  SELECT i AS byte, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS value
-  FROM (SELECT unnest(range(0, 256))::bigint AS i) b),
-crc AS (
-  SELECT doc_id, doc_id::varchar AS digits, 0 AS done, 4294967295::bigint AS c FROM documents WHERE doc_id IS NOT NULL
-  UNION ALL
-  SELECT doc_id, digits, done + 1, xor(t.value, c // 256)
-  FROM crc JOIN crc_table t ON t.byte = xor(c % 256, ascii(substr(digits, done + 1, 1))::bigint) WHERE done < length(digits)),
-marked AS (SELECT doc_id FROM crc WHERE done = length(digits) AND xor(c, 4294967295) % 7 = 0),
+""" + CRC_TABLE + """,
+marked AS (SELECT doc_id FROM documents CROSS JOIN crc_table WHERE """ + _crc_sql("doc_id::varchar") + """ % 7 = 0),
 folded AS (
   SELECT tree, rank, 0 AS step, CASE WHEN doc_id IN (SELECT doc_id FROM marked) THEN other ELSE leaf END AS node FROM hashed
   UNION ALL
@@ -173,3 +180,57 @@ SELECT h.doc_id, h.leaf, r.subroot, t.root, coalesce(p.proof, sha256('')) AS pro
 FROM hashed h JOIN subroots r USING (tree) CROSS JOIN top t LEFT JOIN proofs p ON p.tree = h.tree AND p.rank = h.rank
 JOIN folded f ON f.tree = h.tree AND f.rank = h.rank AND f.step = coalesce(p.n, 0)
 """
+
+
+@query
+def op12_hilbert_shards(spark, sf_dir):
+    shards = hilbert.write_shards(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return hilbert.read_shards(shards).select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def _hilbert_sql() -> str:
+    """Codes by cumulative counts, then one select for each turn of the curve."""
+    steps, number = [], 0
+    for b in range(hilbert.BITS - 1, 0, -1):
+        low = (1 << b) - 1
+        for axis in range(3):
+            own, low_xor = f"x{axis}", f"xor(x0, x{axis}) & {low}"
+            first = f"CASE WHEN {own} & {1 << b} <> 0 THEN xor(x0, {low}) ELSE xor(x0, {low_xor}) END"
+            other = f"CASE WHEN {own} & {1 << b} <> 0 THEN {own} ELSE xor({own}, {low_xor}) END"
+            axes = [first if i == 0 else other if i == axis else f"x{i}" for i in range(3)]
+            steps.append(f"s{number + 1} AS (SELECT doc_id, {', '.join(f'{a} AS x{i}' for i, a in enumerate(axes))} FROM s{number})")
+            number += 1
+    gray = ["x0", "xor(x0, x1)", "xor(xor(x0, x1), x2)"]
+    bits = [f"({gray[axis]} >> {b} & 1) AS b{b}_{axis}" for b in range(hilbert.BITS) for axis in range(3)]
+    terms, weight = [], 3 * hilbert.BITS
+    for b in range(hilbert.BITS - 1, -1, -1):
+        turned = " + ".join(f"b{h}_2" for h in range(b + 1, hilbert.BITS)) or "0"
+        for axis in range(3):
+            weight -= 1
+            terms.append(f"((b{b}_{axis} + {turned}) % 2) * {1 << weight}")
+    upto, total = "(count(*) OVER (ORDER BY {c} NULLS FIRST))", "(count(*) OVER ())"
+    code = f"CAST(({upto} * 64 + {total} - 1) // {total} - 1 AS BIGINT)"
+    codes = ", ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {code.format(c=c)} END AS x{i}" for i, c in enumerate(hilbert.DIMENSIONS))
+    return f"""
+WITH {CRC_TABLE},
+s0 AS (SELECT doc_id, {codes} FROM documents),
+{", ".join(steps)},
+bits AS (SELECT doc_id, {", ".join(bits)} FROM s{number}),
+curve AS (SELECT doc_id, {" + ".join(terms)} AS place FROM bits),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY place, doc_id NULLS FIRST) - 1 AS at_row, count(*) OVER () AS n FROM curve),
+sharded AS (SELECT doc_id, at_row, n, (24 * (at_row + 1) + n - 1) // n - 1 AS shard FROM placed)
+SELECT d.doc_id, cast(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32, 'rows' AS law,
+  cast(shard AS INTEGER) AS shard, at_row - (shard * n) // 24 AS slot, cast(NULL AS INTEGER) AS grown_shard
+FROM sharded JOIN documents d USING (doc_id) CROSS JOIN crc_table"""
+
+
+ORACLE["op12_hilbert_shards"] = _hilbert_sql()
