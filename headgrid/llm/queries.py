@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headgrid.llm import bpe, exact_dedup, hilbert, html_extract, langid, merkle, mixing, quality_rank, quality_rules, simhash, token_files, toxicity
+from headgrid.llm import bpe, exact_dedup, hilbert, html_extract, langid, merkle, mixing, quality_rank, quality_rules, simhash, spelling, token_files, toxicity
 from headgrid.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,3 +234,8 @@ FROM sharded JOIN documents d USING (doc_id) CROSS JOIN crc_table"""
 
 
 ORACLE["op12_hilbert_shards"] = _hilbert_sql()
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
