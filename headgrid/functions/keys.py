@@ -21,10 +21,15 @@ def hashed_id(*parts: str | Column) -> Column:
     """Id in UUID text form, equal for equal parts.
 
     ``uuid()`` would give other values when a task is run again after a lost
-    executor; a hash of the row's identity does not.
+    executor; a hash of the row's identity does not. Each part is written with its length
+    and NULL as a mark of its own, so that different parts never give the same text.
     """
-    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("-")) for p in parts]
-    digest = F.md5(F.concat_ws("|", *texts))
+
+    def text(part):
+        value = (F.col(part) if isinstance(part, str) else part).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    digest = F.md5(F.concat(*[text(p) for p in parts]))
     return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
@@ -32,10 +37,6 @@ def distinct_from(left: Column, right: Column) -> Column:
     return ~left.eqNullSafe(right)
 
 
-def any_distinct(pairs: list[tuple[Column, Column]]) -> Column:
-    return reduce(lambda a, b: a | b, [distinct_from(x, y) for x, y in pairs])
-
-
 def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL; the left key columns are kept.
 

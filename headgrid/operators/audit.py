@@ -123,17 +123,17 @@ def audit_entry_history(audit: DataFrame, entries: DataFrame | None = None, orde
 def audit_version_feed(audit: DataFrame, entries: DataFrame, version: str, limit: int) -> DataFrame:
     """The newest ``limit`` changes of a version with their subject and cost centre.
 
-    Changes of one transaction share their time, so the id breaks ties. The top rows
+    Changes of one transaction share their time, so action and id break ties. The top rows
     are taken before the join: each audit row belongs to exactly one entry, so the
     join, which needs the whole entry table, sees ``limit`` rows on one side.
     """
     known = entries.where(F.col("version_id") == version)
     newest = (
         audit.where(F.col("version_id") == version)
-        .orderBy(F.desc("changed_at"), F.desc("id"))
+        .orderBy(F.desc("changed_at"), "action", F.desc("id"))
         .limit(limit)
     )
     subject = known.select(F.col("id").alias("forecast_entry_id"), "employee_id", "container_id", "costcenter_id")
     if limit <= BROADCAST_ROWS:
         newest = F.broadcast(newest)
-    return subject.join(newest, "forecast_entry_id").orderBy(F.desc("changed_at"), F.desc("id"))
+    return subject.join(newest, "forecast_entry_id").orderBy(F.desc("changed_at"), "action", F.desc("id"))

@@ -8,6 +8,10 @@ equals applying them one by one:
 * a delete flags the open row and leaves ``valid_to`` NULL; without an open row it
   does nothing;
 * after a delete there is no open row, so any month is accepted, earlier ones too.
+
+A feed may deliver a change again or late. ``marks`` hold the highest ``seq`` of each subject
+that was delivered before: a change not above its subject's mark was applied, or its turn has
+passed, and is rejected. So a batch that is repeated changes nothing, whatever was in it.
 """
 
 from __future__ import annotations
@@ -60,6 +64,12 @@ class ChangeSet:
     def rejects(self) -> DataFrame:
         return self.work.where(F.col("reason").isNotNull()).select(*self.keys, "seq", "valid_from", "reason")
 
+    @property
+    def marks(self) -> DataFrame:
+        """The highest sequence number of each subject in the batch, rejected changes included."""
+        seen = self.work.where(~F.col("stored") & F.col("seq").isNotNull())
+        return seen.groupBy(*self.keys).agg(F.max("seq").alias("last_seq"))
+
     @property
     def inserted(self) -> DataFrame:
         return self.rows.where(~F.col("stored")).select(*self.columns)
@@ -116,6 +126,7 @@ def _invalid(keys: list[str], payload: list[str]):
     checks = [
         (F.col("changed_by").isNull(), "missing_actor"),
         (F.col("op").isNull() | ~F.col("op").isin("set", "delete"), "unknown_op"),
+        (F.col("seq").isNull(), "missing_seq"),
         (is_set & (F.col("valid_from").isNull() | (F.dayofmonth("valid_from") != 1)), "valid_from_not_month_start"),
     ]
     if {"employee_id", "container_id"} <= set(keys):
@@ -135,11 +146,16 @@ def scd2_apply(
     keys=SUBJECT,
     payload=PAYLOAD,
     split_rows: int = SPLIT_ROWS,
+    marks: DataFrame | None = None,
+    feed: str = "",
 ) -> ChangeSet:
     """Apply a batch of changes; see the module text for the rules.
 
-    ``changes`` has the keys, ``seq`` (unique per subject), ``op`` (``set`` or
-    ``delete``), ``valid_from``, the payload, ``changed_by`` and ``changed_at``.
+    ``changes`` has the keys, ``seq``, ``op`` (``set`` or ``delete``), ``valid_from``, the
+    payload, ``changed_by`` and ``changed_at``. Of changes of a subject with the same ``seq``
+    one counts and the others are rejected. ``marks`` has the keys and ``last_seq``. The ids of
+    new rows are made of ``feed``, subject and ``seq``: with marks they are unique over all
+    batches of the feed; without them a feed that numbers from the start again needs another name.
     Employees and containers use the same call: the key names both columns and one
     of them is NULL. Only open rows of changed subjects are read from ``entries``; a
     subject has one at most.
@@ -158,12 +174,14 @@ def scd2_apply(
         F.col("seq").cast("long").alias("seq"),
         "op",
         "valid_from",
-        hashed_id(*keys, "valid_from", "seq").alias("id"),
+        hashed_id(F.lit(feed), *keys, "valid_from", "seq").alias("id"),
         *payload,
         "changed_by",
         "changed_at",
         _invalid(keys, payload).alias("reason"),
     )
+    if marks is not None:
+        rows = _refuse_delivered(rows, marks, keys)
     # An invalid change stays in the stream without an effect: no delete, no month.
     rows = rows.withColumns(
         {
@@ -191,9 +209,18 @@ def scd2_apply(
     rows = rows.withColumn("turn", F.when(F.col("stored"), 0).otherwise(1))
 
     order = ["turn", "seq", "id"]
-    rows, was_split = split_hot_keys(rows, keys, order, split_rows, sizes)
+    # Blocks are cut between sequence numbers, so that repeated ones meet.
+    rows, was_split = split_hot_keys(rows, keys, order[:2], split_rows, sizes)
     unit = [*keys, "block"]
     by_order = Window.partitionBy(*unit).orderBy(*order)
+    again = ~F.col("stored") & (F.lag("seq").over(by_order) == F.col("seq"))
+    rows = rows.withColumn("again", F.coalesce(again, F.lit(False))).withColumns(
+        {
+            "is_del": F.col("is_del") & ~F.col("again"),
+            "month": F.when(~F.col("again"), F.col("month")),
+            "reason": F.coalesce("reason", F.when(F.col("again"), "repeated_seq")),
+        }
+    ).drop("again")
     before = (Window.unboundedPreceding, -1)
     rows = rows.withColumn(
         "segment", F.coalesce(F.sum(F.col("is_del").cast("int")).over(by_order.rowsBetween(*before)), F.lit(0))
@@ -222,6 +249,15 @@ def scd2_apply(
     return ChangeSet(keys, payload, _outcome(rows, keys, payload))
 
 
+def _refuse_delivered(rows: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Mark the changes whose turn has passed. Only subjects that have one are looked up by row."""
+    lowest = rows.groupBy(*keys).agg(F.min("seq").alias("lowest"))
+    late = join_on(lowest, marks.select(*keys, "last_seq"), keys).where(F.col("lowest") <= F.col("last_seq"))
+    late = broadcast_if_small(cut(late.select(*keys, "last_seq")))
+    passed = F.when(F.col("seq") <= F.col("last_seq"), "already_delivered")
+    return join_on(rows, late, keys, "left").withColumn("reason", F.coalesce("reason", passed)).drop("last_seq")
+
+
 def _outcome(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     deleted = F.coalesce(F.col("next.is_del"), F.lit(False))
     return rows.select(
@@ -302,6 +338,23 @@ class Flagged:
     refused: DataFrame
     scope: Column
 
+    def audit(self, changed_by: str | None = None, changed_at=None) -> DataFrame:
+        """DELETE or RESTORE records. A delete carries its actor and time; a restore is given them."""
+        gone = F.col("is_deleted")
+        if changed_by is None and not self.after.where(~gone).isEmpty():
+            raise ValueError("an audited restore needs an actor")
+        flag = field_change("is_deleted", (~gone).cast("string"), gone.cast("string"))
+        return audit_record(
+            self.after.select(
+                F.col("id").alias("forecast_entry_id"),
+                "version_id",
+                F.when(gone, "DELETE").otherwise("RESTORE").alias("action"),
+                flag.alias("changed_fields"),
+                F.when(gone, F.col("deleted_by")).otherwise(F.lit(changed_by)).alias("changed_by"),
+                F.when(gone, F.col("deleted_at")).otherwise(F.lit(changed_at).cast("timestamp")).alias("changed_at"),
+            )
+        )
+
     def merge_into(self, entries: DataFrame) -> DataFrame:
         """The whole table after the change. Rows outside the scope pass through unjoined."""
         others = entries.where(~self.scope)
@@ -349,7 +402,7 @@ def restore(entries: DataFrame, requests: DataFrame, keys=SUBJECT) -> Flagged:
     subjects = deleted.select(*keys).distinct()
     taken = cut(join_on(entries.where(is_open()), subjects, keys, "left_semi").select(*keys).distinct())
     free = join_on(deleted, taken, keys, "left_anti")
-    latest = free.groupBy(*keys).agg(F.max(F.struct("valid_from", "id")).alias("last")).select(F.col("last.id").alias("id"))
+    latest = free.groupBy(*keys).agg(F.max(F.struct("valid_from", "created_at", "id")).alias("last")).select(F.col("last.id").alias("id"))
     before = free.join(latest, "id", "left_semi")
     base = [c for c in entries.columns if c not in ("is_deleted", "deleted_at", "deleted_by")]
     cleared = [

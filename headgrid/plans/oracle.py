@@ -100,10 +100,7 @@ feed_rows as (
     case when {is_container} then 'container' else 'employee' end as subject_kind,
     case when {is_container} then 'B' else 'U' end || cast(user_id as varchar) as subject_key,
     'CC-' || cast(event_id % 7 as varchar) as costcenter_id,
-    cast((event_id % 8 + 1) * 0.125 as decimal(38,4)) as fte,
-    regexp_replace(md5('feed|' || case when {is_container} then '-|B' || cast(user_id as varchar) else 'U' || cast(user_id as varchar) || '|-' end
-      || '|' || cast(m as varchar) || '|' || cast(event_id as varchar)),
-      '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') as id
+    cast((event_id % 8 + 1) * 0.125 as decimal(38,4)) as fte
   from steps where not del)"""
 MIXED_FEED = FEED.format(is_container="user_id % 10 = 0")
 CONTAINER_FEED = FEED.format(is_container="true")
@@ -111,15 +108,15 @@ FEED_COLUMNS = """subject_kind, subject_key, costcenter_id, fte, valid_from, val
   case when is_deleted then 'by-' || next_type end as deleted_by, 'by-' || event_type as created_by"""
 FEED_AUDIT = """
 feed_audit as (
-  select id as forecast_entry_id, 'INSERT' as action, 'by-' || event_type as changed_by, ts as changed_at,
-    cast(null as varchar) as field, cast(null as varchar) as old, cast(null as varchar) as new,
-    cast(null as varchar) as as_json from feed_rows
+  select subject_kind, subject_key, valid_from, ts as created, is_deleted as ends_deleted, costcenter_id, 'INSERT' as action,
+    'by-' || event_type as changed_by, ts as changed_at, cast(null as varchar) as field, cast(null as varchar) as old, cast(null as varchar) as new
+  from feed_rows
   union all
-  select id, 'UPDATE', 'by-' || next_type, next_ts, 'valid_to', null, cast(valid_to as varchar),
-    '{"valid_to":{"new":"' || cast(valid_to as varchar) || '"}}' from feed_rows where valid_to is not null
+  select subject_kind, subject_key, valid_from, ts, is_deleted, costcenter_id, 'UPDATE', 'by-' || next_type, next_ts, 'valid_to', null, cast(valid_to as varchar)
+  from feed_rows where valid_to is not null
   union all
-  select id, 'DELETE', 'by-' || next_type, next_ts, 'is_deleted', 'false', 'true',
-    '{"is_deleted":{"old":"false","new":"true"}}' from feed_rows where is_deleted)"""
+  select subject_kind, subject_key, valid_from, ts, is_deleted, costcenter_id, 'DELETE', 'by-' || next_type, next_ts, 'is_deleted', 'false', 'true'
+  from feed_rows where is_deleted)"""
 TIME_TEXT = "strftime(changed_at, '%Y-%m-%d %H:%M:%S.%f')"
 
 GRID = """
@@ -282,7 +279,7 @@ ORACLE["stream_scd2"] = ORACLE["scd2_apply"]
 ORACLE["restore"] = _with(MIXED_FEED) + """select subject_kind, subject_key, costcenter_id, fte, valid_from, valid_to, false as is_deleted,
   cast(null as varchar) as deleted_by, 'by-' || event_type as created_by from feed_rows r
 where is_deleted and not exists (select 1 from feed_rows o where o.subject_key = r.subject_key and o.valid_to is null and not o.is_deleted)
-qualify row_number() over (partition by subject_key order by valid_from desc, id desc) = 1"""
+qualify row_number() over (partition by subject_key order by valid_from desc, ts desc) = 1"""
 ORACLE["soft_delete"] = _with(ENTRIES) + """select id, version_id, valid_from, valid_to,
   is_deleted or hit as is_deleted, case when is_deleted then 'planner' when hit then 'auditor' end as deleted_by
 from (select *, version_id = 'v4' and valid_to is null and not is_deleted
@@ -313,15 +310,33 @@ both_sides as (select """.replace("\n, a as", ", a as") + ", ".join(f"a.{c} as o
 union all select k, 'INSERT', null, null, null from b where k not in (select k from a)
 union all select k, 'DELETE', 'deleted_snapshot', concat_ws('|', id, costcenter_id, cast(fte as varchar), cast(valid_from as varchar), cast(is_deleted as varchar)), null
 from a where k not in (select k from b)"""
-ORACLE["audit_explode"] = _with(MIXED_FEED, FEED_AUDIT) + "select forecast_entry_id, action, field, old, new from feed_audit where action <> 'INSERT'"
-ORACLE["audit_entry_history"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select forecast_entry_id, action, changed_by, {TIME_TEXT} as changed_at from feed_audit
-where forecast_entry_id in (select id from feed_rows where is_deleted)"""
-ORACLE["audit_version_feed"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select a.forecast_entry_id, a.action, a.changed_by,
-  case when r.subject_kind = 'employee' then r.subject_key end as employee_id,
-  case when r.subject_kind = 'container' then r.subject_key end as container_id, r.costcenter_id, {TIME_TEXT} as changed_at
-from feed_audit a join feed_rows r on r.id = a.forecast_entry_id
-order by a.changed_at desc, md5(a.forecast_entry_id || '|' || a.action || '|' || cast(a.changed_at as varchar) || '|' || coalesce(a.as_json, '-')) desc
-limit 200"""
+ORACLE["audit_explode"] = _with(MIXED_FEED, FEED_AUDIT) + "select subject_key, valid_from, action, field, old, new from feed_audit where action <> 'INSERT'"
+ORACLE["audit_entry_history"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select subject_key, valid_from, action, changed_by, {TIME_TEXT} as changed_at from feed_audit
+where ends_deleted"""
+ORACLE["audit_version_feed"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select action, changed_by, case when subject_kind = 'employee' then subject_key end as employee_id,
+  case when subject_kind = 'container' then subject_key end as container_id, costcenter_id, {TIME_TEXT} as changed_at
+from feed_audit f order by f.changed_at desc, action limit 200"""
+
+STORED_TIME = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+ORACLE["stream_stored_changes"] = _with(MIXED_FEED) + f"""select {FEED_COLUMNS}, 'U' || cast(user_id as varchar) as first_name, event_type as last_name,
+  cast(null as varchar) as classification_id, cast(null as varchar) as employee_group_id, cast(null as varchar) as job_description,
+  case when is_deleted then {STORED_TIME.format(c='next_ts')} end as deleted_at, {STORED_TIME.format(c='ts')} as created_at
+from feed_rows"""
+ORACLE["stored_changes"] = ORACLE["stream_stored_changes"].replace(" as created_at", " as created_at, cast(1 as bigint) as n_same_id")
+ORACLE["stored_changes_audit"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select subject_key, valid_from, {STORED_TIME.format(c='created')} as created_at,
+  action, field, old, new, changed_by, {STORED_TIME.format(c='f.changed_at')} as changed_at, cast(1 as bigint) as n_same_id from feed_audit f"""
+ORACLE["stored_changes_rejects"] = _with(MIXED_FEED) + """select case when user_id % 10 = 0 then 'B' else 'U' end || cast(user_id as varchar) as subject_key,
+  seq, valid_from, reason from (
+    select user_id, event_id as seq, m as valid_from, case when m = open_from then 'same_month' else 'backdated' end as reason from replay where not accepted and not del
+    union all
+    select user_id, event_id, m, 'already_delivered' from feed cross join (select max(event_id) // 4 as q from events) x
+    where event_id > q
+    union all
+    select user_id, event_id, m, 'already_delivered' from feed cross join (select max(event_id) // 4 as q from events) x
+    where event_id > q and event_id <= 2 * q) r"""
+ORACLE["publish_soft_delete"] = _with(ENTRIES) + """select id as forecast_entry_id, version_id, 'DELETE' as action, 'auditor' as changed_by, cast(1 as bigint) as n_records
+from forecast_entries where version_id = 'v4' and valid_to is null and not is_deleted
+  and cast(substr(coalesce(employee_id, container_id), 2) as bigint) in (select c_custkey from customer where c_acctbal < 0)"""
 
 ORACLE["dq_unique"] = _with(ACTUALS) + """select 'lineitem_key' as rule, cast(l_orderkey as varchar) || '/' || cast(l_linenumber as varchar) as key, count(*) as n_rows
 from lineitem group by l_orderkey, l_linenumber having count(*) > 1

@@ -6,15 +6,15 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from headgrid.functions.keys import subject_key, subject_kind
 from headgrid.operators import audit, diff, hierarchy, lookup, quality, rollup, scd2, snapshot, versions
 from headgrid.operators import upsert as upserts
 from headgrid.schema import CHECKS
 from headgrid.session import shared_dir
-from headgrid.sources import derived, imports
-from headgrid.sources.tables import write_json
+from headgrid.sources import derived, imports, publish
+from headgrid.sources.tables import read_table, write_json, write_table
 from headgrid.streaming import changes as change_stream
 from headgrid.streaming import imports as import_stream
 
@@ -40,6 +40,10 @@ def _wide(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("decimal(38,4)") for c in columns})
 
 
+def _time(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+
+
 # Temporal reads
 
 
@@ -284,21 +288,104 @@ def scd2_close(spark, sf_dir):
     return _rows(scd2.scd2_close(scd2.scd2_apply(None, _feed(spark, sf_dir))))
 
 
+def _with_id_counts(df: DataFrame) -> DataFrame:
+    """The rows with the number of rows that have the same id."""
+    return df.withColumn("n_same_id", F.count("*").over(Window.partitionBy("id")))
+
+
+def _full_rows(df: DataFrame, *more: str) -> DataFrame:
+    """All columns of SCD2 rows but the id."""
+    rest = ["first_name", "last_name", "classification_id", "employee_group_id", "job_description"]
+    return df.select(
+        subject_kind().alias("subject_kind"), subject_key().alias("subject_key"), "costcenter_id", F.col("fte").cast("decimal(38,4)").alias("fte"),
+        "valid_from", "valid_to", "is_deleted", "deleted_by", "created_by", *rest, _time("deleted_at"), _time("created_at"), *more,
+    )
+
+
+def _stored_changes(spark, sf_dir, jobs=("second", "second")) -> str:
+    """Root of a table made by two batches. The second delivers a quarter of the feed again and is
+    repeated as a job; another name for it delivers all of its changes once more."""
+    root, feed = _scratch(spark, "stored-changes"), _feed(spark, sf_dir)
+    quarter = feed.agg(F.floor(F.max("seq") / 4)).first()[0]
+    change_stream.apply_change_batch(feed.where(F.col("seq") <= 2 * quarter), "first", root, buckets=8, feed="feed")
+    later = feed.where(F.col("seq") > quarter)
+    for job in jobs:
+        change_stream.apply_change_batch(later, job, root, buckets=8, feed="feed")
+    return root
+
+
 @query
-def soft_delete(spark, sf_dir):
+def stored_changes(spark, sf_dir):
+    return _full_rows(_with_id_counts(change_stream.read_entries(spark, _stored_changes(spark, sf_dir))), "n_same_id")
+
+
+@query
+def stored_changes_audit(spark, sf_dir):
+    root = _stored_changes(spark, sf_dir)
+    records = _with_id_counts(change_stream.read_audit(spark, root))
+    fields = audit.audit_explode(records).select("id", "field", "old", "new")
+    entries = change_stream.read_entries(spark, root).select(
+        F.col("id").alias("forecast_entry_id"), subject_key().alias("subject_key"), "valid_from", _time("created_at")
+    )
+    rows = records.join(fields, "id", "left").join(entries, "forecast_entry_id")
+    return rows.select("subject_key", "valid_from", "created_at", "action", "field", "old", "new", "changed_by", _time("changed_at"), "n_same_id")
+
+
+@query
+def stored_changes_rejects(spark, sf_dir):
+    rejects = change_stream.read_rejects(spark, _stored_changes(spark, sf_dir, ("second", "again")))
+    return rejects.select(subject_key().alias("subject_key"), "seq", "valid_from", "reason")
+
+
+@query
+def stream_stored_changes(spark, sf_dir):
+    """A table that was kept elsewhere takes two runs of a stream and then a batch job."""
+    root, feed = _scratch(spark, "stream-stored"), _feed(spark, sf_dir)
+    quarter = feed.agg(F.floor(F.max("seq") / 4)).first()[0]
+    first = scd2.scd2_apply(None, feed.where(F.col("seq") <= quarter), feed="feed").materialized()
+    change_stream.start_store(first.final, f"{root}/table", buckets=8)
+    for part in (1, 2):
+        due = feed.where((F.col("seq") > part * quarter) & (F.col("seq") <= (part + 1) * quarter))
+        due.write.mode("append").parquet(f"{root}/drop")
+        stream = spark.readStream.schema(feed.schema).parquet(f"{root}/drop")
+        change_stream.stream_scd2(stream, f"{root}/table", f"{root}/progress", buckets=8, feed="feed").awaitTermination()
+    change_stream.apply_change_batch(feed.where(F.col("seq") > 3 * quarter), "rest", f"{root}/table", buckets=8, feed="feed")
+    return _full_rows(change_stream.read_entries(spark, f"{root}/table"))
+
+
+def _debt_requests(spark, sf_dir) -> DataFrame:
     """Customers in debt leave the working version."""
     debt = derived.read(spark, sf_dir, "customer").where("c_acctbal < 0")
     key = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
     container = F.col("c_custkey") % 10 == 0
-    requests = debt.select(
+    return debt.select(
         F.lit("v4").alias("version_id"),
         F.when(~container, F.concat(F.lit("C"), key)).alias("employee_id"),
         F.when(container, F.concat(F.lit("P"), key)).alias("container_id"),
         F.lit("auditor").alias("deleted_by"),
         F.lit(NOW).alias("deleted_at"),
     )
+
+
+@query
+def publish_soft_delete(spark, sf_dir):
+    """Audit of a published soft delete whose job failed once half-way and was then run twice."""
+    root = _scratch(spark, "soft-delete")
+    write_table(derived.full_entries(spark, sf_dir), root, "forecast_entries")
+    requests = _debt_requests(spark, sf_dir)
+    publish.append_audit(scd2.soft_delete(read_table(spark, root, "forecast_entries"), requests).audit(), root)
+    for _ in range(2):
+        done = scd2.soft_delete(read_table(spark, root, "forecast_entries"), requests)
+        publish.publish_flagged(done, root, f"{root}/staging")
+    gone = read_table(spark, root, "forecast_entries").where("is_deleted and deleted_by = 'auditor'").select(F.col("id").alias("forecast_entry_id"))
+    records = read_table(spark, root, "forecast_entry_audit").join(gone, "forecast_entry_id")
+    return records.groupBy("forecast_entry_id", "version_id", "action", "changed_by").agg(F.count("*").alias("n_records"))
+
+
+@query
+def soft_delete(spark, sf_dir):
     entries = derived.full_entries(spark, sf_dir)
-    after = scd2.soft_delete(entries, requests).merge_into(entries)
+    after = scd2.soft_delete(entries, _debt_requests(spark, sf_dir)).merge_into(entries)
     return after.select("id", "version_id", "valid_from", "valid_to", "is_deleted", "deleted_by")
 
 
@@ -383,10 +470,17 @@ def _feed_audit(spark, sf_dir):
     return scd2.scd2_apply(None, _feed(spark, sf_dir)).materialized()
 
 
+def _subject_of(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """Records with the subject and start of their entry instead of its id."""
+    names = entries.select(F.col("id").alias("forecast_entry_id"), subject_key().alias("subject_key"), "valid_from")
+    return records.join(names, "forecast_entry_id").drop("forecast_entry_id")
+
+
 @query
 def audit_explode(spark, sf_dir):
-    text = audit.changed_fields_json(_feed_audit(spark, sf_dir).audit)
-    return audit.audit_explode(text).select("forecast_entry_id", "action", "field", "old", "new")
+    done = _feed_audit(spark, sf_dir)
+    fields = audit.audit_explode(audit.changed_fields_json(done.audit))
+    return _subject_of(fields, done.inserted).select("subject_key", "valid_from", "action", "field", "old", "new")
 
 
 @query
@@ -395,17 +489,14 @@ def audit_entry_history(spark, sf_dir):
     done = _feed_audit(spark, sf_dir)
     gone = done.inserted.where("is_deleted").select(F.col("id").alias("forecast_entry_id"))
     history = audit.audit_entry_history(done.audit, gone)
-    return history.select("forecast_entry_id", "action", "changed_by", F.date_format("changed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("changed_at"))
+    return _subject_of(history, done.inserted).select("subject_key", "valid_from", "action", "changed_by", _time("changed_at"))
 
 
 @query
 def audit_version_feed(spark, sf_dir):
     done = _feed_audit(spark, sf_dir)
     top = audit.audit_version_feed(done.audit, done.inserted, "feed", FEED_SIZE)
-    return top.select(
-        "forecast_entry_id", "action", "changed_by", "employee_id", "container_id", "costcenter_id",
-        F.date_format("changed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("changed_at"),
-    )
+    return top.select("action", "changed_by", "employee_id", "container_id", "costcenter_id", _time("changed_at"))
 
 
 # Data quality

@@ -6,14 +6,15 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from headgrid.operators.scd2 import Flagged
 from headgrid.operators.versions import Rollover
 from headgrid.schema import TABLES
-from headgrid.session import cut
+from headgrid.session import broadcast_if_small, cut
 from headgrid.sources.imports import PERIOD, Import, PeriodExists
-from headgrid.sources.tables import conform, write_table
+from headgrid.sources.tables import conform, read_table, write_table
 
 COMMITS = "commits"
-COMMIT_ROW = T.StructType().add("bucket", T.IntegerType()).add("n_rows", T.LongType()).add("batch", T.LongType())
+COMMIT_ROW = T.StructType().add("bucket", T.IntegerType()).add("n_rows", T.LongType()).add("batch", T.LongType()).add("job", T.StringType())
 
 
 class RuleViolation(ValueError):
@@ -86,6 +87,38 @@ def publish_rollover(done: Rollover, root: str) -> None:
     publish_generation(done.versions, root, "forecast_versions")
 
 
+def append_audit(records: DataFrame, root: str) -> None:
+    """Add change records to the audit table, those that are not there yet.
+
+    The id of a record is made of its content, so a job that is repeated adds nothing twice. Only
+    the versions that the records belong to are read, and of those only the ids.
+    """
+    spark = records.sparkSession
+    new = cut(conform(records, "forecast_entry_audit").dropDuplicates(["version_id", "id"]))
+    if path_exists(spark, f"{root}/forecast_entry_audit"):
+        there = read_table(spark, root, "forecast_entry_audit").select("version_id", "id")
+        there = there.join(broadcast_if_small(new.select("version_id").distinct()), "version_id", "left_semi")
+        new = new.join(there, ["version_id", "id"], "left_anti")
+    new.write.mode("append").partitionBy("version_id").parquet(f"{root}/forecast_entry_audit")
+
+
+def publish_flagged(done: Flagged, root: str, staging: str, changed_by: str | None = None, changed_at=None) -> None:
+    """Publish a soft delete or restore: its audit first, then the versions that it touches.
+
+    ``done`` was made from the stored table. A job that failed between the two gives the same
+    records when it is repeated; one that is repeated as a whole finds nothing left to change.
+    """
+    done = replace(done, before=cut(done.before), after=cut(done.after))
+    append_audit(done.audit(changed_by, changed_at), root)
+    spark = done.after.sparkSession
+    versions = done.after.select("version_id").distinct()
+    # Partition values, a few for each job.
+    stored = read_table(spark, root, "forecast_entries")
+    touched = stored.join(broadcast_if_small(versions), "version_id", "left_semi")
+    whole = conform(done.merge_into(touched), "forecast_entries")
+    publish_partitions(whole, staging, f"{root}/forecast_entries", ["version_id"])
+
+
 def publish_import(load: Import, root: str) -> None:
     """Publish a monthly load: the actuals first, the run headers last.
 
@@ -112,12 +145,14 @@ def write_batch(df: DataFrame, root: str, table: str, batch: int, by: list[str]
     df.write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{root}/{table}/batch={batch}")
 
 
-def commit_batch(root: str, batch: int, touched: DataFrame) -> None:
+def commit_batch(root: str, batch: int, touched: DataFrame, job: str | None = None) -> None:
     """Make a batch visible; call it after all tables of the batch are written.
 
-    ``touched`` has one row per replaced bucket: ``bucket`` and its ``n_rows`` now.
+    ``touched`` has one row per replaced bucket: ``bucket`` and its ``n_rows`` now. ``job``
+    names the work that the batch holds, whoever ran it.
     """
-    touched.select("bucket", "n_rows").coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/batch={batch}")
+    rows = touched.select("bucket", "n_rows", F.lit(job).cast("string").alias("job"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/batch={batch}")
 
 
 def is_committed(spark: SparkSession, root: str, batch: int) -> bool:
@@ -134,6 +169,12 @@ def committed_batches(spark: SparkSession, root: str) -> list[int]:
     return sorted(b for b in batches if is_committed(spark, root, b))
 
 
+def job_is_committed(spark: SparkSession, root: str, job: str) -> bool:
+    """Whether a committed batch holds this job."""
+    paths = [f"{root}/{COMMITS}/batch={b}" for b in committed_batches(spark, root)]
+    return not _read_paths(spark, root, COMMITS, COMMIT_ROW, paths).where(F.col("job") == job).isEmpty()
+
+
 def _read_paths(spark: SparkSession, root: str, table: str, schema: T.StructType, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], schema)
