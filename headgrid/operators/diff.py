@@ -7,7 +7,7 @@ without rows stays NULL. Map-side combine keeps a dominating key small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headgrid.functions.keys import distinct_from, join_on, subject_key, subject_kind, total
 from headgrid.operators.hierarchy import version_chain
@@ -44,58 +44,46 @@ def diff_versions_by_cc(entries: DataFrame, version_a: str, version_b: str, mont
     )
 
 
-def _diff_states(rows: DataFrame, version_b: str, subject: list[str]) -> DataFrame:
-    """Changed states of subjects that may have several rows per version."""
-    side = F.when(F.col("version_id") == version_b, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
-    changed = rows.groupBy(*subject, *STATE).agg(F.sum(side).alias("surplus")).where("surplus <> 0")
-    in_a, in_b = F.col("surplus") < 0, F.col("surplus") > 0
-    changed = changed.select(
-        *subject,
-        F.when(in_a, F.struct(*STATE)).alias("a"),
-        F.when(in_b, F.struct(*STATE)).alias("b"),
-        F.when(in_a, -F.col("surplus")).otherwise(0).alias("rows_a"),
-        F.when(in_b, F.col("surplus")).otherwise(0).alias("rows_b"),
-    )
-    per_subject = changed.groupBy(*subject).agg(
-        F.max("a").alias("a"), F.max("b").alias("b"), F.sum("rows_a").alias("rows_a"), F.sum("rows_b").alias("rows_b")
-    )
-    single = (F.col("rows_a") <= 1) & (F.col("rows_b") <= 1)
-    # The null-safe join adds no filter of its own, so all uses of `changed` share one shuffle.
-    one_sided = join_on(changed, per_subject.where(~single).select(*subject), subject, "left_semi")
-    return per_subject.where(single).unionByName(one_sided)
-
-
 def diff_versions_by_subject(entries: DataFrame, version_a: str, version_b: str, month, ordered: bool = False) -> DataFrame:
     """Employees and containers whose cost centre, classification, group or FTE differs.
 
-    One scan and one shuffle give each subject's state on both sides; only the changed
-    subjects go on, and they are kept, since it takes a look at them to see whether any
-    subject has several rows in a version. That happens only where rows overlap. Such
-    subjects are compared state by state: equal states cancel, and if more than one
-    per side is left, each gives its own one-sided row (``rows_a``/``rows_b`` say how
-    often it is held beyond the other side). Pairing every state with every other
-    would count the FTE more than once. The deltas always add up to the difference of
-    the two totals.
+    The two versions are multisets of (subject, state): a row of the newer one counts +1, one of
+    the older one -1, and equal states cancel in one combined sum. What is left of a subject is its
+    change: one state at most on each side gives a paired row. Where rows overlap, more may be left;
+    then each state gives its own one-sided row (``rows_a``/``rows_b`` say how often it is held
+    beyond the other side). Pairing every state with every other would count the FTE more than
+    once. The deltas always add up to the difference of the two totals.
     """
-    rows = (
-        asof(entries, month, [version_a, version_b])
-        .select("version_id", subject_kind().alias("subject_kind"), subject_key().alias("subject_key"), *STATE)
-    )
     subject = ["subject_kind", "subject_key"]
-    is_a, is_b, state = F.col("version_id") == version_a, F.col("version_id") == version_b, F.struct(*STATE)
-    per_subject = rows.groupBy(*subject).agg(
-        F.max(F.when(is_a, state)).alias("a"),
-        F.max(F.when(is_b, state)).alias("b"),
-        F.count_if(is_a).alias("rows_a"),
-        F.count_if(is_b).alias("rows_b"),
+    version = F.col("version_id")
+    sign = (version == version_b).cast("long") - (version == version_a).cast("long")
+    rows = asof(entries, month, [version_a, version_b]).select(
+        subject_kind().alias("subject_kind"), subject_key().alias("subject_key"), *STATE, sign.alias("sign")
+    )
+    changed = rows.groupBy(*subject, *STATE).agg(F.sum("sign").alias("surplus")).where("surplus <> 0")
+    changed = changed.select(
+        *subject,
+        "surplus",
+        F.struct(*STATE).alias("state"),
+        F.greatest(-F.col("surplus"), F.lit(0)).alias("rows_a"),
+        F.greatest(F.col("surplus"), F.lit(0)).alias("rows_b"),
+    )
+    left = changed.groupBy(*subject).agg(F.sum("rows_a").alias("all_a"), F.sum("rows_b").alias("all_b"))
+    several = left.where("all_a > 1 or all_b > 1").select(*subject)
+    in_a, in_b = F.col("surplus") < 0, F.col("surplus") > 0
+    one_sided = join_on(changed, several, subject, "left_semi").select(
+        *subject, F.when(in_a, F.col("state")).alias("a"), F.when(in_b, F.col("state")).alias("b"), "rows_a", "rows_b"
+    )
+    # Two rows a subject at most, the older version's first.
+    beside = Window.partitionBy(*subject).orderBy("surplus")
+    paired = join_on(changed, several, subject, "left_anti").select(
+        *subject, "surplus", "state", F.lead("state").over(beside).alias("following"), F.row_number().over(beside).alias("nth")
+    ).where("nth = 1")
+    b = F.when(in_a, F.col("following")).otherwise(F.col("state"))
+    paired = paired.select(
+        *subject, F.when(in_a, F.col("state")).alias("a"), b.alias("b"), in_a.cast("long").alias("rows_a"), b.isNotNull().cast("long").alias("rows_b")
     )
-    overlapping = (F.col("rows_a") > 1) | (F.col("rows_b") > 1)
-    changed = cut(per_subject.where(overlapping | distinct_from(F.col("a"), F.col("b"))))
-    both = changed.where(~overlapping)
-    several = changed.where(overlapping).select(*subject)
-    if version_a != version_b and not several.isEmpty():
-        rows = join_on(rows, broadcast_if_small(several), subject, "left_semi")
-        both = both.unionByName(_diff_states(rows, version_b, subject))
+    both = paired.unionByName(one_sided)
     sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in STATE for s in ("a", "b")]
     zero = F.lit(0).cast(WIDE)
     held_a = F.coalesce(F.col("a.fte") * F.col("rows_a"), zero)

@@ -66,41 +66,70 @@ def hierarchy_descendants(costcenters: DataFrame, roots: DataFrame, ordered: boo
     return below.orderBy("root_id", "level", "code") if ordered else below
 
 
+def hierarchy_problems(costcenters: DataFrame) -> DataFrame:
+    """``(id, reason)`` of the active nodes that the tree does not reach.
+
+    The first obstacle on the way up decides: ``missing_parent``, ``inactive_ancestor``, or
+    ``cycle`` for nodes on or below a ring. All nodes climb at once and double their step each
+    round. As long as a node below no ring is under way, some node arrives in every round; what
+    is left when none does is below a ring.
+    """
+    nodes = costcenters.select("id", "parent_id", "is_active")
+    parents = nodes.select(F.col("id").alias("up"), F.col("is_active").alias("up_active"))
+    first = nodes.where("is_active").join(parents, F.col("parent_id") == F.col("up"), "left")
+    seen = (
+        F.when(F.col("parent_id").isNull(), "root")
+        .when(F.col("up").isNull(), "missing_parent")
+        .when(~F.col("up_active"), "inactive_ancestor")
+    )
+    ways = cut(first.select("id", F.when(seen.isNull(), F.col("parent_id")).alias("at"), seen.alias("reason")))
+    under_way, last = ways.where("reason is null").count(), -1
+    while under_way not in (0, last):
+        ahead = ways.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("reason").alias("found"))
+        done, moving = ways.where("reason is not null"), ways.where("reason is null")
+        moved = moving.join(ahead, "at").select("id", F.col("next").alias("at"), F.col("found").alias("reason"))
+        ways = cut(done.unionByName(moved))
+        under_way, last = ways.where("reason is null").count(), under_way
+    reason = F.coalesce("reason", F.lit("cycle"))
+    return ways.select("id", reason.alias("reason")).where("reason <> 'root'")
+
+
 def version_chain(links: DataFrame, starts: DataFrame, id_col: str = "id", source_col: str = "source_version_id") -> DataFrame:
     """``(start_id, id, position)`` along the source links, position 1 = the start.
 
     ``starts`` has a column ``start_id``. The links are doubled each round (2, 4, 8
     steps at a time), so a chain of n links needs about log2(n) joins, and a
-    single very long chain is spread over all tasks like any other rows. A cycle
-    raises ``ValueError``.
+    single very long chain is spread over all tasks like any other rows. Each round is kept
+    once and looked at once: an id that a start meets again is a cycle and raises
+    ``ValueError``, and the walk ends when no start gets further. Cycles that no start
+    leads to do no harm.
     """
     known = links.select(F.col(id_col).alias("id"))
-    wanted = starts.select(F.col("start_id")).distinct()
-    reached = cut(
-        wanted.join(known, wanted["start_id"] == known["id"], "left_semi").select(
-            "start_id", F.col("start_id").alias("id"), F.lit(1).cast("long").alias("position")
+    first = starts.select(F.col("start_id").alias("from")).distinct()
+    first = first.join(known, first["from"] == known["id"], "left_semi")
+    jumps = links.select(F.col(id_col).alias("from"), F.col(source_col).alias("to")).where(F.col("to").isNotNull())
+    jumps = jumps.join(known, jumps["to"] == known["id"], "left_semi")
+    # Rows with a position have been reached, those without are jumps of `steps` links.
+    none = F.lit(None).cast("long")
+    state = cut(
+        first.select("from", F.col("from").alias("to"), F.lit(1).cast("long").alias("position")).unionByName(
+            jumps.select("from", "to", none.alias("position"))
         )
     )
-    ends = known.withColumnRenamed("id", "to_id")
-    jump = cut(
-        links.select(F.col(id_col).alias("id"), F.col(source_col).alias("to_id"))
-        .where(F.col("to_id").isNotNull())
-        .join(ends, "to_id", "left_semi")
-        .select("id", "to_id")
-    )
-    n_links = jump.count()
     steps = 1
-    while not jump.isEmpty():
-        if steps > n_links:
-            raise ValueError("the version links contain a cycle")
-        ahead = reached.join(jump, "id").select(
-            "start_id", F.col("to_id").alias("id"), (F.col("position") + steps).alias("position")
-        )
-        reached = cut(reached.unionByName(ahead))
-        onward = jump.select(F.col("id").alias("to_id"), F.col("to_id").alias("next_id"))
-        jump = cut(jump.join(onward, "to_id").select("id", F.col("next_id").alias("to_id")))
+    while True:
+        reached, jump = state.where("position is not null"), state.where("position is null")
+        onward = jump.select(F.col("from").alias("to"), F.col("to").alias("next"))
+        ahead = reached.join(onward, "to").select("from", F.col("next").alias("to"), (F.col("position") + steps).alias("position"))
+        further = jump.drop("position").join(onward, "to").select("from", F.col("next").alias("to"), none.alias("position"))
+        state = cut(reached.unionByName(ahead).unionByName(further))
         steps *= 2
-    return reached
+        met = state.where("position is not null").groupBy("from", "to").agg(F.count("*").alias("times"), F.max("position").alias("position"))
+        seen = met.agg(F.max("times").alias("times"), F.max("position").alias("furthest")).first()
+        if (seen.times or 0) > 1:
+            raise ValueError("the version links contain a cycle")
+        if (seen.furthest or 0) <= steps // 2:
+            return state.where("position is not null").select(F.col("from").alias("start_id"), F.col("to").alias("id"), "position")
 
 
 def version_chain_rows(versions: DataFrame, start: str) -> DataFrame:

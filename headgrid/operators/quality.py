@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from headgrid.functions.keys import subject_key, subject_kind
+from headgrid.functions.keys import join_on, subject_key, subject_kind
+from headgrid.operators.blocks import SPLIT_ROWS, split_hot_keys
+from headgrid.session import broadcast_if_small, cut
 
 OPEN_END = "9999-12-31"
+#: More than twice the days from year 1 to 9999, so that two days fit into one number.
+SPAN = 1 << 24
 
 
 def _key_text(columns: list[str]) -> Column:
@@ -38,10 +42,6 @@ def dq_checks(table: DataFrame, rules: dict[str, str], key: str = "id") -> DataF
     )
 
 
-def dq_not_null(table: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    return dq_checks(table, {f"{c}_not_null": f"`{c}` is not null" for c in columns}, key)
-
-
 def dq_foreign_keys(child: DataFrame, column: str, parent: DataFrame, parent_key: str, rule: str) -> DataFrame:
     """Values of ``column`` without a parent row, with how many rows hold them.
 
@@ -55,38 +55,54 @@ def dq_foreign_keys(child: DataFrame, column: str, parent: DataFrame, parent_key
     )
 
 
-def dq_overlap(entries: DataFrame) -> DataFrame:
+def dq_overlap(entries: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Live rows whose interval overlaps one that starts earlier or on the same day.
 
     One output row per subject and start: how many rows start there, and the start and
-    end of the row that reaches furthest over it. The rows are first reduced to one
-    per subject and start, on dates alone, so that the aggregation stays a hash
-    aggregation and the window sees at most as many rows per subject as there are
-    starts, however many rows the subject has. No pairs are formed.
+    end of the row that reaches furthest over it. Rows are shuffled once, by subject, and
+    reduced to one per start; a running maximum over the starts then says how far the earlier
+    rows reach. End and start are kept in one number, so the maximum is one of longs. Subjects
+    with more than ``split_rows`` rows are worked on in blocks of consecutive starts, and the
+    maximum of the blocks before is carried into each. No pairs are formed.
     """
     subject = ["version_id", "subject_kind", "subject_key"]
-    starts = (
-        entries.where(~F.col("is_deleted"))
-        .select(
-            "version_id",
-            subject_kind().alias("subject_kind"),
-            subject_key().alias("subject_key"),
-            "valid_from",
-            F.coalesce(F.col("valid_to"), F.lit(OPEN_END).cast("date")).alias("until"),
-        )
-        .groupBy(*subject, "valid_from")
-        .agg(F.count("*").alias("n_rows"), F.max("until").alias("until"))
+    epoch = F.lit("1970-01-01").cast("date")
+    rows = entries.where(~F.col("is_deleted")).select(
+        "version_id",
+        subject_kind().alias("subject_kind"),
+        subject_key().alias("subject_key"),
+        F.date_diff("valid_from", epoch).alias("start"),
+        F.date_diff(F.coalesce(F.col("valid_to"), F.lit(OPEN_END).cast("date")), epoch).alias("until"),
     )
-    earlier = Window.partitionBy(*subject).orderBy("valid_from").rowsBetween(Window.unboundedPreceding, -1)
-    found = starts.withColumn("over", F.max(F.struct("until", "valid_from")).over(earlier))
-    reached = F.col("over.until") > F.col("valid_from")
-    until = F.when(reached, F.col("over.until")).otherwise(F.col("until"))
+    rows, was_split = split_hot_keys(rows, subject, ["start"], split_rows)
+    # The block is a constant where no subject was split, and no part of a partitioning then.
+    unit = [*subject, "block"] if was_split else subject
+    starts = rows.repartition(*unit).groupBy(*unit, "start").agg(F.count("*").alias("n_rows"), F.max("until").alias("until"))
+    # The later end wins, and the later start among equal ends.
+    starts = starts.withColumn("reach", F.col("until").cast("long") * SPAN + F.col("start"))
+    earlier = Window.partitionBy(*unit).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    found = starts.withColumn("over", F.max("reach").over(earlier))
+    if was_split:
+        blocks = starts.where("block >= 0").groupBy(*unit).agg(F.max("reach").alias("reach"))
+        before = Window.partitionBy(*subject).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.select(*unit, F.max("reach").over(before).alias("carried"))
+        found = join_on(found, broadcast_if_small(cut(carried)), unit, "left").withColumn("over", F.greatest("over", "carried"))
+    # Starts before 1970 are negative, and so is the lower part of the number then.
+    over_until = F.floor((F.col("over") + SPAN // 2) / SPAN)
+    over_from = F.col("over") - over_until * SPAN
+    reached = over_until > F.col("start")
+    until = F.when(reached, over_until).otherwise(F.col("until"))
+    open_end = F.date_diff(F.lit(OPEN_END).cast("date"), epoch)
+
+    def day(number):
+        return F.date_add(epoch, number.cast("int"))
+
     return found.where(reached | (F.col("n_rows") > 1)).select(
         *subject,
-        "valid_from",
+        day(F.col("start")).alias("valid_from"),
         "n_rows",
-        F.when(reached, F.col("over.valid_from")).otherwise(F.col("valid_from")).alias("overlaps_from"),
-        F.when(until != F.lit(OPEN_END).cast("date"), until).alias("overlaps_to"),
+        day(F.when(reached, over_from).otherwise(F.col("start"))).alias("overlaps_from"),
+        F.when(until != open_end, day(until)).alias("overlaps_to"),
     )
 
 

@@ -132,19 +132,31 @@ def _grid(start="1998-01-01", end="1999-06-01", extra="") -> str:
     return GRID.format(start=start, end=end, extra=extra)
 
 
-TREE = """
-tree as (
-  select id, code, name, level, parent_id, [id] as path_ids, [name] as path_names, 0 as depth
-  from costcenters where parent_id is null and is_active
+# Regions, nations and suppliers: three levels, joined one by one.
+LEVELS = """
+live as (select id, code, name, level, parent_id from costcenters where is_active),
+family as (
+  select r.id as region, r.name as region_name, n.id as nation, n.name as nation_name, s.id as supplier, s.name as supplier_name
+  from live r left join live n on n.parent_id = r.id left join live s on s.parent_id = n.id
+  where r.parent_id is null)"""
+TREE = LEVELS + """,
+placed as (
+  select distinct region as id, [region] as path_ids, [region_name] as path_names from family
   union all
-  select c.id, c.code, c.name, c.level, c.parent_id, list_append(t.path_ids, c.id), list_append(t.path_names, c.name), t.depth + 1
-  from costcenters c join tree t on t.id = c.parent_id where c.is_active)"""
+  select distinct nation, [region, nation], [region_name, nation_name] from family where nation is not null
+  union all
+  select supplier, [region, nation, supplier], [region_name, nation_name, supplier_name] from family where supplier is not null),
+tree as (select live.*, path_ids, path_names, len(path_ids) - 1 as depth from placed join live using (id))"""
 BELOW = """
-below as (
-  select id as root_id, id, code, name, level, parent_id from costcenters where is_active
+live as (select id, code, name, level, parent_id from costcenters where is_active),
+steps as (select p.id as upper_id, c.id as lower_id from live p join live c on c.parent_id = p.id),
+reach as (
+  select id as root_id, id from live
+  union all
+  select upper_id, lower_id from steps
   union all
-  select b.root_id, c.id, c.code, c.name, c.level, c.parent_id
-  from costcenters c join below b on b.id = c.parent_id where c.is_active)"""
+  select a.upper_id, b.lower_id from steps a join steps b on b.upper_id = a.lower_id),
+below as (select root_id, live.* from reach join live using (id))"""
 
 
 def _with(*parts: str) -> str:
@@ -203,9 +215,13 @@ ORACLE["subtree_rollup"] = _with(ENTRIES, _grid(), COSTCENTERS, BELOW) + """sele
 from rolled r join below b on b.id = r.costcenter_id join costcenters c on c.id = b.root_id where c.level < 3"""
 
 ORACLE["diff_versions_by_cc"] = _with(
-    ENTRIES, _totals("a", f"version_id = 'v3' and {AT}"), _totals("b", f"version_id = 'v4' and {AT}")
-) + f"""select coalesce(a.costcenter_id, b.costcenter_id) as costcenter_id, a.fte as fte_version_a, b.fte as fte_version_b, {_delta('b.fte', 'a.fte')} as fte_delta
-from a full outer join b on a.costcenter_id = b.costcenter_id where a.fte is distinct from b.fte"""
+    ENTRIES,
+    _totals("older", f"version_id = 'v3' and {AT}"),
+    _totals("newer", f"version_id = 'v4' and {AT}"),
+    """
+held as (select costcenter_id from older union select costcenter_id from newer)""",
+) + f"""select held.costcenter_id, older.fte as fte_version_a, newer.fte as fte_version_b, {_delta('newer.fte', 'older.fte')} as fte_delta
+from held left join older using (costcenter_id) left join newer using (costcenter_id) where newer.fte is distinct from older.fte"""
 ORACLE["diff_versions_by_subject"] = _with(ENTRIES) + f"""select coalesce(a.subject_key, b.subject_key) as subject_key, coalesce(a.employee_id, b.employee_id) as employee_id,
   coalesce(a.container_id, b.container_id) as container_id,
   a.costcenter_id as costcenter_id_a, b.costcenter_id as costcenter_id_b,
@@ -216,6 +232,34 @@ ORACLE["diff_versions_by_subject"] = _with(ENTRIES) + f"""select coalesce(a.subj
 from {_snapshot('v3')} a full outer join {_snapshot('v4')} b on a.subject_key = b.subject_key
 where a.costcenter_id is distinct from b.costcenter_id or a.classification_id is distinct from b.classification_id
   or a.employee_group_id is distinct from b.employee_group_id or a.fte is distinct from b.fte"""
+ORACLE["diff_versions_overlapping"] = _with(ENTRIES) + f""", merged as (
+  select version_id, case when employee_id is null then 'container' else 'employee' end as kind,
+    coalesce('M' || cast(cast(substr(employee_id, 2) as bigint) // 30 as varchar), container_id) as subject_key,
+    costcenter_id, classification_id, employee_group_id, cast(fte as decimal(38,4)) as fte
+  from forecast_entries where {AT}),
+only_a as (select * exclude (version_id) from merged where version_id = 'v3' except all select * exclude (version_id) from merged where version_id = 'v4'),
+only_b as (select * exclude (version_id) from merged where version_id = 'v4' except all select * exclude (version_id) from merged where version_id = 'v3'),
+sides as (
+  select *, (select count(*) from only_a a where a.kind = s.kind and a.subject_key = s.subject_key) as all_a,
+    (select count(*) from only_b b where b.kind = s.kind and b.subject_key = s.subject_key) as all_b
+  from (select distinct kind, subject_key from only_a union select distinct kind, subject_key from only_b) s),
+found as (
+  select s.kind, s.subject_key, a.costcenter_id as costcenter_id_a, b.costcenter_id as costcenter_id_b,
+    a.classification_id as classification_id_a, b.classification_id as classification_id_b,
+    a.employee_group_id as employee_group_id_a, b.employee_group_id as employee_group_id_b, a.fte as fte_a, b.fte as fte_b,
+    s.all_a as rows_a, s.all_b as rows_b
+  from sides s left join only_a a on a.kind = s.kind and a.subject_key = s.subject_key
+    left join only_b b on b.kind = s.kind and b.subject_key = s.subject_key where s.all_a <= 1 and s.all_b <= 1
+  union all
+  select s.kind, s.subject_key, costcenter_id, null, classification_id, null, employee_group_id, null, fte, null, count(*), 0
+  from sides s join only_a a on a.kind = s.kind and a.subject_key = s.subject_key where s.all_a > 1 or s.all_b > 1
+  group by s.kind, s.subject_key, costcenter_id, classification_id, employee_group_id, fte
+  union all
+  select s.kind, s.subject_key, null, costcenter_id, null, classification_id, null, employee_group_id, null, fte, 0, count(*)
+  from sides s join only_b b on b.kind = s.kind and b.subject_key = s.subject_key where s.all_a > 1 or s.all_b > 1
+  group by s.kind, s.subject_key, costcenter_id, classification_id, employee_group_id, fte)
+select subject_key, case when kind = 'employee' then subject_key end as employee_id, case when kind = 'container' then subject_key end as container_id,
+  * exclude (kind, subject_key), cast(coalesce(fte_b, 0) * rows_b - coalesce(fte_a, 0) * rows_a as decimal(38,4)) as fte_delta from found""".replace("\n, merged", ", merged")
 ORACLE["actuals_mom_delta"] = _with(
     ACTUALS,
     _totals("p", "import_run_id = 'RUN-1998-09'", "employee_actuals"),
@@ -232,11 +276,10 @@ ORACLE["chain_diff"] = _with(
     ENTRIES,
     VERSIONS,
     """
-chain as (
-  select id, source_version_id, 1 as position from forecast_versions where id = 'v4'
-  union all
-  select v.id, v.source_version_id, c.position + 1 from forecast_versions v join chain c on c.source_version_id = v.id),
-pairs as (select cast(n.position as bigint) as position, o.id as version_a, n.id as version_b from chain n join chain o on o.position = n.position + 1)""",
+ranked as (
+  select id, count(*) over (order by period_year desc, period_month desc) as nth, lead(id) over (order by period_year desc, period_month desc) as older
+  from forecast_versions where (period_year, period_month) <= (select (period_year, period_month) from forecast_versions where id = 'v4')),
+pairs as (select nth as position, older as version_a, id as version_b from ranked where older is not null)""",
     _totals("t", AT, key="version_id, costcenter_id"),
     """
 keyed as (select distinct p.position, p.version_a, p.version_b, t.costcenter_id from pairs p join t on t.version_id in (p.version_a, p.version_b))""",
@@ -246,6 +289,18 @@ left join t b on b.version_id = k.version_b and b.costcenter_id = k.costcenter_i
 
 ORACLE["hierarchy_tree"] = _with(COSTCENTERS, TREE) + """select id, code, name, level, parent_id, array_to_string(path_ids, '/') as path_ids,
   array_to_string(path_names, '/') as path_names, cast(depth as bigint) as depth from tree"""
+ORACLE["hierarchy_problems"] = """with recursive nodes as (
+  select c_custkey as id, c_acctbal > -900 as is_active,
+    case when c_custkey % 41 = 0 then -1 when c_custkey % 17 <> 0 then (c_custkey * c_custkey + 1) % (select count(*) from customer) end as parent_id
+  from customer),
+climb as (
+  select id as start_id, id as at_id from nodes where is_active
+  union
+  select c.start_id, p.id from climb c join nodes n on n.id = c.at_id join nodes p on p.id = n.parent_id where p.is_active),
+ends as (
+  select c.start_id, case when n.parent_id is null then 'root' when p.id is null then 'missing_parent' when not p.is_active then 'inactive_ancestor' end as reason
+  from climb c join nodes n on n.id = c.at_id left join nodes p on p.id = n.parent_id)
+select cast(start_id as varchar) as id, coalesce(max(reason), 'cycle') as reason from ends group by start_id having coalesce(max(reason), 'cycle') <> 'root'"""
 ORACLE["hierarchy_descendants"] = _with(COSTCENTERS, BELOW) + "select * from below"
 ORACLE["version_chain"] = """with recursive turns as (select distinct conv_id, turn from conversations),
 chain as (

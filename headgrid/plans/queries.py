@@ -135,6 +135,17 @@ def diff_versions_by_subject(spark, sf_dir):
     return _wide(diff.diff_versions_by_subject(derived.forecast_entries(spark, sf_dir), "v3", "v4", MONTH), "fte_a", "fte_b")
 
 
+def _merged_subjects(spark, sf_dir) -> DataFrame:
+    """Entries in which thirty customers are one employee, so that most rows overlap."""
+    merged = F.concat(F.lit("M"), (F.substring("employee_id", 2, 8).cast("long") / 30).cast("long").cast("string"))
+    return derived.forecast_entries(spark, sf_dir).withColumn("employee_id", merged)
+
+
+@query
+def diff_versions_overlapping(spark, sf_dir):
+    return _wide(diff.diff_versions_by_subject(_merged_subjects(spark, sf_dir), "v3", "v4", MONTH), "fte_a", "fte_b")
+
+
 @query
 def actuals_mom_delta(spark, sf_dir):
     return diff.actuals_mom_delta(derived.employee_actuals(spark, sf_dir), "RUN-1998-09", "RUN-1998-10")
@@ -168,6 +179,19 @@ def hierarchy_descendants(spark, sf_dir):
     return hierarchy.hierarchy_descendants(centres, centres.select(F.col("id").alias("root_id")))
 
 
+@query
+def hierarchy_problems(spark, sf_dir):
+    """Each customer below another one by a rule that makes rings; some are roots, some have no such parent."""
+    customer = derived.read(spark, sf_dir, "customer")
+    n = customer.agg(F.count("*")).scalar()
+    key = F.col("c_custkey")
+    parent = F.when(key % 41 == 0, F.lit(-1)).when(key % 17 != 0, (key * key + 1) % n)
+    nodes = customer.select(
+        key.cast("string").alias("id"), parent.cast("string").alias("parent_id"), (F.col("c_acctbal") > -900).alias("is_active")
+    )
+    return hierarchy.hierarchy_problems(nodes)
+
+
 @query
 def version_chain(spark, sf_dir):
     """Each turn of a conversation follows the one before; walked back from the last turn."""

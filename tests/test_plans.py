@@ -105,14 +105,19 @@ def test_foreign_key_values_are_counted_before_a_shuffled_join(spark, stored):
     assert text.index("Join") < text.index("partial_count")
 
 
-def test_subject_diff_states_shuffle_their_rows_once(spark, stored):
-    rows = snapshot.asof(stored, "1998-10-01", ["v3", "v4"]).select("version_id", F.lit("e").alias("subject_kind"), F.col("employee_id").alias("subject_key"), *diff.STATE)
+def test_subject_diff_is_summed_by_hash_in_one_scan(spark, stored):
+    found = diff.diff_versions_by_subject(stored, "v3", "v4", "1998-10-01")
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows reuse before the run
-        text = plan(diff._diff_states(rows, "v4", ["subject_kind", "subject_key"]).select("*"))
+        text = plan(found.select("*"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert scans(text) == 1 and text.count("ReusedExchange") >= 2, text
+    assert scans(text) == 1 and text.count("ReusedExchange") >= 2 and "SortAggregate" not in text, text
+
+
+def test_overlap_shuffles_once_by_subject(spark, stored):
+    text = plan(quality.dq_overlap(stored))
+    assert shuffles(text) == 1 and "SortAggregate" not in text, text
 
 
 def test_apply_sorts_twice_and_shuffles_once(spark):

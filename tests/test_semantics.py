@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -359,9 +360,58 @@ def test_version_chain(spark):
     got = hierarchy.version_chain(links, starts).collect()
     assert {(r.start_id, r.id, r.position) for r in got} == {(str(n - 1), str(i), n - i) for i in range(n)} | {("7", str(i), 8 - i) for i in range(8)}
     assert len(got) == n + 8
-    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, source_version_id string")
-    with pytest.raises(ValueError, match="cycle"):
-        hierarchy.version_chain(ring, spark.createDataFrame([("a",)], "start_id string"))
+
+
+def test_a_ring_is_found_in_two_rounds(spark, monkeypatch):
+    """However many links there are; a ring that no start leads to is no error."""
+    pairs = [(f"{i}", f"{i - 1}" if i else None) for i in range(2_000)] + [("a", "b"), ("b", "a"), ("c", "a"), ("own", "own")]
+    links = spark.createDataFrame(pairs, "id string, source_version_id string")
+    rounds = []
+    keep = hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda df: rounds.append(1) or keep(df))
+    for start, most in (("a", 2), ("own", 1), ("c", 2)):
+        rounds.clear()
+        with pytest.raises(ValueError, match="cycle"):
+            hierarchy.version_chain(links, spark.createDataFrame([(start,)], "start_id string"))
+        assert len(rounds) - 1 <= most, (start, len(rounds))
+    got = hierarchy.version_chain(links, spark.createDataFrame([("3",)], "start_id string"))
+    assert {(r.id, r.position) for r in got.collect()} == {("3", 1), ("2", 2), ("1", 3), ("0", 4)}
+
+
+def test_nodes_that_the_tree_does_not_reach(spark):
+    nodes = [node("r", None), node("x", "r"), node("off", "r", active=False), node("u", "off"), node("w", "u"), node("m", "gone"), node("n", "m"),
+             node("a", "b"), node("b", "a"), node("c", "a"), node("own", "own"), *[node(f"d{i}", f"d{i - 1}" if i else "c") for i in range(9)]]
+    found = {r.id: r.reason for r in hierarchy.hierarchy_problems(spark.createDataFrame(nodes, NODE)).collect()}
+    assert found == {**dict.fromkeys("uw", "inactive_ancestor"), **dict.fromkeys("mn", "missing_parent"),
+                     **dict.fromkeys(["a", "b", "c", "own", *[f"d{i}" for i in range(9)]], "cycle")}
+    reached = {r.id for r in hierarchy.hierarchy_tree(spark.createDataFrame(nodes, NODE)).collect()}
+    assert reached == {"r", "x"} and not reached & set(found)
+
+
+def test_overlap_of_a_hot_subject_in_blocks(spark):
+    """One subject holds a third of the rows; blocks of 40 rows give what one block gives, and what all pairs give."""
+    rng = random.Random(4)
+    first = dt.date(1969, 1, 1)
+    rows = []
+    for i in range(900):
+        begin = first + dt.timedelta(days=rng.randrange(700))
+        until = rng.choice([None] + [begin + dt.timedelta(days=rng.randrange(1, 30))] * 60)
+        rows.append((f"e{i}", "H" if i % 3 == 0 else f"s{rng.randrange(200)}", begin, until))
+    table = spark.createDataFrame(rows, "id string, employee_id string, valid_from date, valid_to date").selectExpr(
+        "*", "'v1' as version_id", "cast(null as string) as container_id", "false as is_deleted")
+    plain, cut_up = quality.dq_overlap(table).collect(), quality.dq_overlap(table, split_rows=40).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, cut_up))
+    far = dt.date(9999, 12, 31)
+    want = set()
+    for _, who, begin, _ in rows:
+        mine = [(u or far, b) for _, w, b, u in rows if w == who]
+        reach = max((x for x in mine if x[1] < begin), default=None)
+        here = [u for u, b in mine if b == begin]
+        if reach and reach[0] > begin:
+            want.add((who, begin, len(here), reach[1], None if reach[0] == far else reach[0]))
+        elif len(here) > 1:
+            want.add((who, begin, len(here), begin, None if max(here) == far else max(here)))
+    assert {(r.subject_key, r.valid_from, r.n_rows, r.overlaps_from, r.overlaps_to) for r in plain} == want and len(plain) == len(want)
 
 
 def test_upsert_of_a_repeated_new_key_is_one_after_the_other(spark):
