@@ -38,7 +38,7 @@ BLOCK = set(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 DROPPED = set(
-    "aside audio button canvas datalist dialog footer form head iframe input map menu nav noscript object script search select style svg template "
+    "aside audio canvas datalist dialog footer form head iframe input map menu nav noscript object script search select style svg template "
     "textarea title video xmp".split()
 )
 MARKS = set(
@@ -48,6 +48,11 @@ MARKS = set(
     "subscribe toolbar widget widgets".split()
 )
 MAIN_MARKS = set("article articlebody main".split())
+#: Parts of a class name that may stand beside a mark: `site-footer` is a mark, `has-sidebar` and `comments-open` are not.
+BESIDE = set(
+    "area bar block bottom box container content fixed global group holder inner item items left list main major minor outer page panel primary region "
+    "right row secondary section site sticky top unit wrap wrapper".split()
+)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>|\Z)|[^>]*)(?:>|\Z)",
@@ -64,13 +69,25 @@ def host_of(url: str | None) -> str:
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "main")
+    """An open element. ``barred``: dropped whatever it holds; ``marked``: the numbers of the marks it stands in."""
+
+    __slots__ = ("tag", "path", "barred", "marked", "main", "paragraph")
+
+    def __init__(self, tag, path, barred, marked, main, paragraph):
+        self.tag, self.path, self.barred, self.marked, self.main, self.paragraph = tag, path, barred, marked, main, paragraph
+
+    @property
+    def dropped(self) -> bool:
+        return self.barred or bool(self.marked)
+
 
-    def __init__(self, tag, path, dropped, main):
-        self.tag, self.path, self.dropped, self.main = tag, path, dropped, main
+def _is_mark(name: str) -> bool:
+    """Whether a whole class, id or role names what is not the article."""
+    parts = [p for p in re.split(r"[-_0-9]+", name) if p]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in BESIDE for p in parts)
 
 
-def _element(tag: str, attributes: str, above: Element | None) -> Element:
+def _element(tag: str, attributes: str, above: Element | None, number: int, spared: frozenset) -> Element:
     label, words, hidden = tag, set(), False
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -80,32 +97,47 @@ def _element(tag: str, attributes: str, above: Element | None) -> Element:
             elif name == "style":
                 hidden = hidden or bool(HIDDEN.search(value))
             else:
-                words.update(re.findall(r"[a-z]+", value))
+                words.update(value.split())
                 if name in ("class", "id"):
                     label += "." + re.sub(r"[^a-z\-_ ]+", "", value)
     within = above.main if above else False
     main = within or tag in ("article", "main") or bool(words & MAIN_MARKS and tag in ("div", "section"))
-    marked = bool(words & MARKS) or "header" in words and not within
-    dropped = (
-        (above.dropped if above else False)
+    paragraph = tag == "p" or bool(above and above.paragraph)
+    barred = (
+        (above.barred if above else False)
         or tag in DROPPED
         or hidden
         or tag == "header" and not within
-        or marked and tag not in ("html", "body", "main", "article")
+        or tag == "button" and not paragraph
     )
-    return Element(tag, f"{above.path if above else ''}/{label}", dropped, main)
+    marked = above.marked if above else ()
+    if not barred and number not in spared and tag not in ("html", "body", "main", "article"):
+        if any(map(_is_mark, words)) or "header" in words and not within:
+            marked = (*marked, number)
+    return Element(tag, f"{above.path if above else ''}/{label}", barred, marked, main, paragraph)
 
 
 def parse(html: str | None) -> list[tuple[int, str, str, bool, bool]]:
     """Tokens of a page in order: (kind, path, text, dropped, main); kind is 1 for an opening tag, 2 for a closing one, 0 for a text block.
 
-    Closing tags that are missing are implied as browsers do for paragraphs, items and cells.
+    Closing tags that are missing are implied as browsers do for paragraphs, items and cells. If all the
+    article and main elements of a page stand in marked elements, the marks around the first do not count.
+    Beside an article elsewhere they do: reader comments are often article elements.
     """
+    out, around = _tokens(html, frozenset())
+    if around and not any(kind == 0 and main for kind, _, _, _, main in out):
+        out, _ = _tokens(html, frozenset(around))
+    return out
+
+
+def _tokens(html: str | None, spared: frozenset) -> tuple[list[tuple[int, str, str, bool, bool]], tuple]:
+    """Tokens of a page, and the marks around its first marked article or main element."""
     html = html or ""
     out: list[tuple[int, str, str, bool, bool]] = []
     stack: list[Element] = []
     held: list[str] = []
     place: Element | None = None
+    around: tuple = ()
 
     def flush():
         if held:
@@ -130,7 +162,7 @@ def parse(html: str | None) -> list[tuple[int, str, str, bool, bool]]:
             gone = stack.pop()
             out.append((2, gone.path, "", gone.dropped, gone.main))
 
-    at, end = 0, len(html)
+    at, end, number = 0, len(html), 0
     while at < end:
         found = TAG.search(html, at)
         if not found:
@@ -167,9 +199,12 @@ def parse(html: str | None) -> list[tuple[int, str, str, bool, bool]]:
                     break
                 if stack[i].tag in SCOPES[tag]:
                     break
-        element = _element(tag, found[3], stack[-1] if stack else None)
+        number += 1
+        element = _element(tag, found[3], stack[-1] if stack else None, number, spared)
         if tag in VOID:
             continue
+        if tag in ("article", "main") and element.marked and not element.barred and not around:
+            around = element.marked
         out.append((1, element.path, "", element.dropped, element.main))
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
@@ -182,7 +217,7 @@ def parse(html: str | None) -> list[tuple[int, str, str, bool, bool]]:
             stack.append(element)
     flush()
     pop(0)
-    return out
+    return out, around
 
 
 def _name(kind: int, path: str, text: str) -> int:
@@ -277,7 +312,8 @@ def extract_text(
 ) -> DataFrame:
     """id, url, ``keep`` and text of every row of ``pages``.
 
-    Text inside elements that are no part of an article (by tag, class, id or role) is left out;
+    Text inside elements that are no part of an article (by tag, or by a whole name in class, id or role, unless
+    that would leave no article or main element) is left out;
     text that is part of the host's template is left out too, unless it is most of the main element's text.
 
     * A null html is an empty page; its text is empty, as is that of pages without an article's text.

@@ -177,6 +177,24 @@ def test_page_text():
         html_extract.main_text(PAGE[:cut], set(), set())
 
 
+def test_class_names_of_wrappers_do_not_drop_articles():
+    story = "<p>The story &amp; its end.</p>"
+    pages = [
+        f"<div class='content has-sidebar'><article>{story}</article></div>",
+        f"<div class='post comments-open'><article>{story}</article></div>",
+        f"<article><div class='elementor-widget text'>{story}</div></article>",
+        f"<div class='widget'><section id='comments'><main>{story}</main></section></div>",
+        f"<body class='no-sidebar sidebar'>{story}<div class='site-footer'>f</div><div id=sidebar_1>s</div></body>",
+        f"<div class='sidebar'><p>s</p></div><div class='notice'><article>{story}</article></div>",
+        f"<main>{story}</main><ol class='comment-list'><li><article>a reader</article></li></ol>",
+        f"<div class='widget'><main>{story}</main><ol class='comments'><li><article>a reader</article></li></ol></div>",
+        f"<nav><article>menu</article></nav><article>{story}<section class='comments'><p>c</p></section></article>",
+    ]
+    for page in pages:
+        assert html_extract.main_text(page, set(), set()) == "The story & its end.", page
+    assert html_extract.main_text("<article><p>Use the <button>Save</button> key</p><button>Buy</button></article>", set(), set()) == "Use the Save key"
+
+
 def test_pages_and_templates(spark):
     body = "<html><body><div class='top'><p>Welcome to us</p><b>Call now</b></div><div><p>{0}</p><p>{1}</p></div><div><p>Imprint</p></div></body></html>"
     rows = [(i, f"https://h.example/{i}", body.format(f"story {i}", f"more {i * 7}"), "u") for i in range(6)]
