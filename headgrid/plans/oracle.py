@@ -432,4 +432,12 @@ ORACLE["read_import_file"] = """select case when o_orderstatus = 'P' then 'quara
   cast(case when o_orderstatus <> 'P' then (o_orderkey % 8 + 1) * 0.125 end as decimal(38,4)) as fte from orders"""
 ORACLE["import_actuals"] = _with(ACTUALS) + """select period_year, period_month, case when period_year < 1999 then 'refused' else 'loaded' end as outcome, row_count as n_rows from import_runs"""
 ORACLE["import_run_counts"] = _with(ACTUALS) + "select id, period_year, period_month, status, cast(row_count as integer) as row_count from import_runs"
-ORACLE["stream_import"] = _with(ACTUALS) + "select period_year, period_month, 'completed' as status, cast(row_count as integer) as row_count from import_runs"
+ORACLE["stream_import"] = _with(ACTUALS) + "select period_year + 10 as period_year, period_month, 'completed' as status, cast(row_count as integer) as row_count from import_runs"
+ORACLE["stream_import_held"] = _with(ACTUALS) + """select 'loaded' as outcome, employee_id, costcenter_id, classification_id, employee_group_id, cast(fte as decimal(38,4)) as fte,
+  cast(year(period_start) + 10 as integer) as period_year, cast(month(period_start) as integer) as period_month
+from employee_actuals where year(period_start) < 1999
+union all
+select 'month_range,year_range', 'C' || lpad(cast(c_custkey as varchar), 8, '0'), null, null, null, null, 1950, 13 from customer where c_custkey % 50 = 0
+union all
+select 'open ' || cast(row_count as varchar) || ' of ' || cast(row_count + 1 as varchar), null, null, null, null, null, period_year + 10, period_month
+from import_runs where period_year >= 1999"""

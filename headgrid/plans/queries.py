@@ -676,12 +676,55 @@ def stream_scd2(spark, sf_dir):
     return _rows(change_stream.read_entries(spark, f"{root}/table"))
 
 
+def _drop_rows(spark, sf_dir) -> DataFrame:
+    """Import rows as they are dropped, ten years later, since periods begin with 2000."""
+    rows = _import_rows(spark, sf_dir).withColumns({c: F.col("employee_id") for c in ("first_name", "last_name")})
+    return rows.withColumn("period_year", (F.col("period_year") + 10).cast("short"))
+
+
 @query
 def stream_import(spark, sf_dir):
     root = _scratch(spark, "stream-import")
-    named = _import_rows(spark, sf_dir).withColumns({c: F.col("employee_id") for c in ("first_name", "last_name")})
-    write_json(named, f"{root}/drop")
+    write_json(_drop_rows(spark, sf_dir), f"{root}/drop")
     rows = import_stream.read_drop_folder(spark, f"{root}/drop")
     import_stream.stream_import(rows, f"{root}/table", f"{root}/progress", "importer", NOW).awaitTermination()
     runs = import_stream.read_loaded(spark, f"{root}/table", "import_runs")
     return runs.select(F.col("period_year").cast("int"), F.col("period_month").cast("int"), "status", F.col("row_count").cast("int"))
+
+
+@query
+def stream_import_held(spark, sf_dir):
+    """Months come in two drops, half of the employees each, and end markers with the second.
+
+    Those of 2009 or later expect a row more than there is and stay open; a line for each fiftieth
+    customer names a period that does not exist.
+    """
+    root = _scratch(spark, "stream-held")
+    rows = _drop_rows(spark, sf_dir)
+    customer = derived.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0")
+    name = F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    bad = customer.select(
+        *[name.alias(c) for c in ("employee_id", "first_name", "last_name", "costcenter_id")],
+        F.lit("1.0").cast("decimal(6,4)").alias("fte"), F.lit(1950).alias("period_year"), F.lit(13).alias("period_month"),
+    )
+    late = (F.col("period_year") >= 2009).cast("int")
+    markers = rows.groupBy("period_year", "period_month").agg(F.count("*").alias("n")).select(
+        "period_year", "period_month", (F.col("n") + late).cast("int").alias("expected_rows")
+    )
+    odd = F.substring("employee_id", -1, 1).cast("int") % 2
+    write_json(rows.where(odd == 0).unionByName(bad, allowMissingColumns=True), f"{root}/first")
+    write_json(rows.where(odd == 1).unionByName(markers, allowMissingColumns=True), f"{root}/second")
+    for batch, part in enumerate(("first", "second")):
+        lines = spark.read.text(f"{root}/{part}")
+        import_stream.load_drop_batch(lines, batch, f"{root}/table", "importer", NOW, hold=True)
+    runs = import_stream.read_loaded(spark, f"{root}/table", "import_runs").select(F.col("id").alias("import_run_id"), "period_year", "period_month")
+    actuals = import_stream.read_loaded(spark, f"{root}/table", "employee_actuals").join(runs, "import_run_id")
+    columns = ["employee_id", "costcenter_id", "classification_id", "employee_group_id", "fte", "period_year", "period_month"]
+    loaded = actuals.select(F.lit("loaded").alias("outcome"), *columns)
+    aside = import_stream.quarantined(spark, f"{root}/table")
+    aside = aside.select(F.col("reason").alias("outcome"), F.get_json_object("line", "$.employee_id").alias("employee_id"), "period_year", "period_month")
+    waiting = import_stream.open_months(spark, f"{root}/table").select(
+        F.concat(F.lit("open "), F.col("n_rows"), F.lit(" of "), F.col("expected_rows")).alias("outcome"), "period_year", "period_month"
+    )
+    found = loaded.unionByName(aside, allowMissingColumns=True).unionByName(waiting, allowMissingColumns=True)
+    return _wide(found, "fte").withColumns({c: F.col(c).cast("int") for c in ("period_year", "period_month")})

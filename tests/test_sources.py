@@ -173,6 +173,54 @@ def test_stream_import_refuses_loaded_months(spark, tmp_path):
     assert [(r.employee_id, r.period_month) for r in import_stream.refused_rows(spark, root).collect()] == [("A", 2)]
 
 
+def drop_line(employee, year, month, fte=1, **more):
+    import json
+
+    names = {c: "a" for c in ("first_name", "last_name", "costcenter_id")}
+    return json.dumps({"employee_id": employee, **names, "fte": fte, "period_year": year, "period_month": month, **more})
+
+
+def loaded_rows(spark, root):
+    runs = import_stream.read_loaded(spark, root, "import_runs").selectExpr("id as import_run_id", "period_year", "period_month", "row_count")
+    rows = import_stream.read_loaded(spark, root, "employee_actuals").join(runs, "import_run_id")
+    return sorted((r.employee_id, r.period_year, r.period_month, r.row_count) for r in rows.collect())
+
+
+def test_stream_import_sets_lines_aside_and_goes_on(spark, tmp_path):
+    (tmp_path / "drop").mkdir()
+    root = str(tmp_path / "table")
+    lines = [
+        drop_line("A", 2025, 1), "{broken", drop_line("B", 1950, 13), drop_line("C", 2025, 1, fte=0), drop_line(None, 2025, 1),
+        drop_line("D", 2025, 1, fte="lots"), drop_line("E", 2025, 1), drop_line("E", 2025, 1), drop_line("F", None, 1),
+    ]
+    (tmp_path / "drop" / "one.json").write_text("\n".join(lines))
+    for _ in range(2):
+        rows = import_stream.read_drop_folder(spark, str(tmp_path / "drop"))
+        import_stream.stream_import(rows, root, str(tmp_path / "progress"), "u", NOW).awaitTermination()
+        (tmp_path / "drop" / "two.json").write_text(drop_line("A", 2025, 2))
+    assert loaded_rows(spark, root) == [("A", 2025, 1, 1), ("A", 2025, 2, 1)]
+    aside = sorted(r.reason for r in import_stream.quarantined(spark, root).collect())
+    assert aside == ["actual_fte_range", "broken_line", "broken_line", "employee_id_not_null", "month_range,year_range", "period_year_not_null",
+                     "unique_import_run_id_employee_id", "unique_import_run_id_employee_id"]
+
+
+@pytest.mark.parametrize("cuts", [[], [3], [1, 2, 5]])
+def test_a_held_month_does_not_depend_on_its_batches(spark, tmp_path, cuts):
+    lines = [drop_line("A", 2025, 1), drop_line("B", 2025, 2), drop_line("C", 2025, 1), '{"period_year":2025,"period_month":1,"expected_rows":3}',
+             drop_line("D", 2025, 1, fte=99), '{"period_year":2025,"period_month":2,"expected_rows":2}']
+    root = str(tmp_path / "table")
+    for batch, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+        part = spark.createDataFrame([(x,) for x in lines[a:b]], "value string")
+        for _ in range(2):  # the second run of a batch does nothing
+            import_stream.load_drop_batch(part, batch, root, "u", NOW, hold=True)
+    assert loaded_rows(spark, root) == [("A", 2025, 1, 2), ("C", 2025, 1, 2)]
+    assert [tuple(r) for r in import_stream.open_months(spark, root).collect()] == [(2025, 2, 1, 2)]
+    late = spark.createDataFrame([(drop_line("E", 2025, 1),), (drop_line("F", 2025, 2),)], "value string")
+    import_stream.load_drop_batch(late, 9, root, "u", NOW, hold=True)
+    assert loaded_rows(spark, root) == [("A", 2025, 1, 2), ("B", 2025, 2, 2), ("C", 2025, 1, 2), ("F", 2025, 2, 2)]
+    assert [r.employee_id for r in import_stream.refused_rows(spark, root).collect()] == ["E"]
+
+
 def test_headers_are_checked_and_a_repeated_publish_is_refused(spark, tmp_path):
     import datetime as dt
 
