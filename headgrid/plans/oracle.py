@@ -441,3 +441,23 @@ select 'month_range,year_range', 'C' || lpad(cast(c_custkey as varchar), 8, '0')
 union all
 select 'open ' || cast(row_count as varchar) || ' of ' || cast(row_count + 1 as varchar), null, null, null, null, null, period_year + 10, period_month
 from import_runs where period_year >= 1999"""
+
+ORACLE["version_chain_rows"] = _with(ALL_VERSIONS) + """select *, row_number() over (order by period_year desc, period_month desc) as position from forecast_versions"""
+ORACLE["run_by_id"] = _with(ACTUALS) + "select * from import_runs r where exists (select 1 from employee_actuals a where a.import_run_id = r.id and a.fte = 1)"
+ORACLE["version_by_id"] = _with(ALL_VERSIONS) + """select * from forecast_versions
+where make_date(period_year, period_month, 1) + interval 1 month in (select make_date(period_year, period_month, 1) from forecast_versions where period_year in (1995, 1997))"""
+ORACLE["config_value"] = """select cast(c_acctbal as decimal(38,4)) as value from customer where c_custkey = 7
+union all select null from customer where c_custkey = 7"""
+ORACLE["list_employee_groups"] = """select 'EG_' || o_orderstatus as id, 'EG_' || o_orderstatus as code, 'eg_' || lower(o_orderstatus) as label,
+  cast(min(o_orderkey) % 100 as integer) as sort_order from orders where o_orderstatus <> 'P' group by o_orderstatus"""
+ORACLE["rollover_published"] = _with(ENTRIES, VERSIONS) + f""", copied as (
+  select coalesce(employee_id, container_id) as key, costcenter_id, fte from forecast_entries where version_id = 'v4' and {ACTIVE.format(month='1998-02-01')})
+select 'version' as part, label as key, 'archived' as what, cast(period_year * 100 + period_month as varchar) as month, source_version_id as parent,
+  case when status = 'working' then 'planner' end as who, cast(null as decimal(38,4)) as fte from forecast_versions
+union all select 'version', 'FC 1998-02', 'working', '199802', 'v4', 'planner', null
+union all select 'entry', key, costcenter_id, '1998-02-01', null, 'planner', cast(fte as decimal(38,4)) from copied
+union all select 'audit', key, 'INSERT', null, null, 'planner', null from copied""".replace("\n, copied", ", copied")
+ORACLE["first_version"] = _with(VERSIONS) + """select 'made' as "case", label, status, period_year, period_month, fc_horizon_months, source_version_id, cast(null as varchar) as created_by
+from forecast_versions where status = 'archived'
+union all select 'made', 'first', 'working', 1999, 2, 12, null, 'planner'
+union all select 'kept', label, status, period_year, period_month, fc_horizon_months, source_version_id, null from forecast_versions"""

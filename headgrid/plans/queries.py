@@ -14,7 +14,7 @@ from headgrid.operators import upsert as upserts
 from headgrid.schema import CHECKS
 from headgrid.session import shared_dir
 from headgrid.sources import derived, imports, publish
-from headgrid.sources.tables import read_table, write_json, write_table
+from headgrid.sources.tables import conform, read_table, write_json, write_table
 from headgrid.streaming import changes as change_stream
 from headgrid.streaming import imports as import_stream
 
@@ -205,9 +205,54 @@ def version_chain(spark, sf_dir):
     return hierarchy.version_chain(links, last)
 
 
+@query
+def version_chain_rows(spark, sf_dir):
+    """Registry rows of the chain from the working version back to the first."""
+    registry = derived.forecast_versions(spark, sf_dir, None, None)
+    newest = versions.working_row(registry).id
+    return hierarchy.version_chain_rows(registry, newest)
+
+
 # Lookups and listings
 
 
+@query
+def run_by_id(spark, sf_dir):
+    """Runs that have an employee of whole FTE."""
+    used = derived.employee_actuals(spark, sf_dir).where("fte = 1").select(F.col("import_run_id").alias("id"))
+    return lookup.lookup_by_id(derived.import_runs(spark, sf_dir), used)
+
+
+@query
+def version_by_id(spark, sf_dir):
+    """Versions that others were made from, of two years."""
+    registry = derived.forecast_versions(spark, sf_dir, None, None)
+    asked = registry.where("period_year in (1995, 1997)").select(F.col("source_version_id").alias("id"))
+    return lookup.lookup_by_id(registry, asked)
+
+
+@query
+def config_value(spark, sf_dir):
+    """Each customer's balance is a setting; one that is no number reads as NULL."""
+    settings = derived.read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("balance-"), F.col("c_custkey")).alias("key"), F.col("c_acctbal").cast("decimal(38,4)").cast("string").alias("value")
+    )
+    names = derived.read(spark, sf_dir, "customer").select(F.concat(F.lit("name-"), F.col("c_custkey")).alias("key"), F.col("c_name").alias("value"))
+    both = settings.unionByName(names)
+    return lookup.config_value(both, "balance-7", "decimal(38,4)").unionByName(lookup.config_value(both, "name-7", "decimal(38,4)"))
+
+
+@query
+def list_employee_groups(spark, sf_dir):
+    kinds = derived.read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.min("o_orderkey").alias("k"))
+    code = F.concat(F.lit("EG_"), F.col("o_orderstatus"))
+    groups = kinds.select(
+        code.alias("id"), code.alias("code"), F.lower(code).alias("label"), (F.col("k") % 100).cast("int").alias("sort_order"),
+        (F.col("o_orderstatus") != "P").alias("is_active"),
+    )
+    return lookup.list_lookups(groups)
+
+
 @query
 def lookup_by_id(spark, sf_dir):
     used = derived.employee_actuals(spark, sf_dir).select(F.col("costcenter_id").alias("id"))
@@ -428,6 +473,45 @@ def rollover_seed(spark, sf_dir):
     return _wide(seeded.select(*columns), "fte")
 
 
+@query
+def rollover_published(spark, sf_dir):
+    """Registry, new rows and their audit after a rollover that was published twice."""
+    root, entries = _scratch(spark, "rollover"), derived.full_entries(spark, sf_dir)
+    write_table(entries, root, "forecast_entries")
+    registry = conform(derived.forecast_versions(spark, sf_dir), "forecast_versions")
+    for _ in range(2):
+        done = versions.rollover(read_table(spark, root, "forecast_entries"), registry, "FC 1998-02", "1998-02-01", 18, "planner", NOW)
+        publish.publish_rollover(done, root)
+    found = publish.read_generation(spark, root, "forecast_versions")
+    period = (F.col("period_year") * 100 + F.col("period_month")).cast("string")
+    listed = found.select(
+        F.lit("version").alias("part"), F.col("label").alias("key"), F.col("status").alias("what"), period.alias("month"),
+        F.col("source_version_id").alias("parent"), F.coalesce("archived_by", "created_by").alias("who"), F.lit(None).cast("decimal(38,4)").alias("fte"),
+    )
+    fresh = read_table(spark, root, "forecast_entries").where(F.col("version_id") == done.version_id)
+    rows = fresh.select(
+        F.lit("entry").alias("part"), subject_key().alias("key"), F.col("costcenter_id").alias("what"), F.col("valid_from").cast("string").alias("month"),
+        F.col("valid_to").cast("string").alias("parent"), F.col("created_by").alias("who"), F.col("fte").cast("decimal(38,4)").alias("fte"),
+    )
+    names = fresh.select(F.col("id").alias("forecast_entry_id"), subject_key().alias("key"))
+    records = read_table(spark, root, "forecast_entry_audit").join(names, "forecast_entry_id").select(
+        F.lit("audit").alias("part"), "key", F.col("action").alias("what"), F.lit(None).cast("string").alias("month"),
+        F.lit(None).cast("string").alias("parent"), F.col("changed_by").alias("who"), F.lit(None).cast("decimal(38,4)").alias("fte"),
+    )
+    return listed.unionByName(rows).unionByName(records)
+
+
+@query
+def first_version(spark, sf_dir):
+    """Asked for a working version: a registry without one gets its first, any other stays."""
+    archived = conform(derived.forecast_versions(spark, sf_dir).where("status = 'archived'"), "forecast_versions")
+    whole = conform(derived.forecast_versions(spark, sf_dir), "forecast_versions")
+    parts = [versions.get_or_create_working(registry, "first", "1999-02-01", 12, "planner", NOW) for registry in (archived, whole)]
+    columns = ["label", "status", "period_year", "period_month", "fc_horizon_months", "source_version_id", "created_by"]
+    found = parts[0].select(F.lit("made").alias("case"), *columns).unionByName(parts[1].select(F.lit("kept").alias("case"), *columns))
+    return found.withColumns({c: F.col(c).cast("int") for c in ("period_year", "period_month", "fc_horizon_months")})
+
+
 @query
 def rollover_not_copied(spark, sf_dir):
     rows = versions.rows_left_behind(derived.forecast_entries(spark, sf_dir), "v4", "1998-02-01")

@@ -142,7 +142,11 @@ FOREIGN_KEYS = [
     ("forecast_entry_audit", "changed_by", "users"),
 ]
 
-# Seed rows (fixed values): code, label, sort order; and key, value.
+# Seed rows (fixed values): code, label, sort order; and key, value, description.
 SEED_CLASSIFICATIONS = [("direct", "Direct", 1), ("indirect", "Indirect", 2), ("overhead", "Overhead", 3), ("contractor", "Contractor", 4)]
 SEED_GROUPS = [("EG_EXEC", "Executive", 1), ("EG_MGR", "Manager", 2), ("EG_ENG", "Engineer", 3), ("EG_SUPPORT", "Support", 4), ("EG_OPS", "Operator", 5)]
-SEED_CONFIG = [("fc_horizon_months", "18"), ("fc_lock_day", "1"), ("import_source_label", "SAP HCM Export")]
+SEED_CONFIG = [
+    ("fc_horizon_months", "18", "How many months forward the rolling forecast extends. Integer. Can be changed at runtime via UPDATE."),
+    ("fc_lock_day", "1", "Day of month (1–28) on which the working forecast is archived and a new one is opened. Integer."),
+    ("import_source_label", "SAP HCM Export", "Cosmetic label for the SAP import source displayed in the UI. String."),
+]

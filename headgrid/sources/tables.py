@@ -58,5 +58,5 @@ def seed_employee_groups(spark: SparkSession) -> DataFrame:
 
 
 def seed_system_config(spark: SparkSession, at) -> DataFrame:
-    rows = spark.createDataFrame(SEED_CONFIG, "key string, value string")
+    rows = spark.createDataFrame(SEED_CONFIG, "key string, value string, description string")
     return conform(rows.withColumn("updated_at", F.lit(at)), "system_config")

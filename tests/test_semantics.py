@@ -318,6 +318,7 @@ def test_resolve_codes_keeps_unknown(spark):
 
 def test_config_values_are_cast(spark):
     config = tables.seed_system_config(spark, NOW)
+    assert config.where("description is null").isEmpty()
     assert lookup.config_value(config, "fc_horizon_months", "int").first().value == 18
     assert lookup.config_value(config, "import_source_label", "int").first().value is None
     assert lookup.config_value(config, "nothing").isEmpty()
