@@ -115,6 +115,15 @@ def test_subject_diff_is_summed_by_hash_in_one_scan(spark, stored):
     assert scans(text) == 1 and text.count("ReusedExchange") >= 2 and "SortAggregate" not in text, text
 
 
+def test_audit_compares_digests_before_it_moves_columns(spark, stored):
+    versions = [stored.where(F.col("version_id") == v).withColumn("id", F.expr("substr(id, 4)")) for v in ("v3", "v4")]
+    narrow = audit._differing(*versions, "id", [c for c in audit.TRACKED if c in stored.columns])
+    text = plan(narrow)
+    (exchange,) = re.findall(r"Exchange hashpartitioning.*", text)
+    (partial,) = re.findall(r"HashAggregate\(keys=\[key#\d+\], functions=\[partial_count.*", text)
+    assert "bit_xor" in partial and "costcenter_id" not in partial and "SortAggregate" not in text, text
+
+
 def test_overlap_shuffles_once_by_subject(spark, stored):
     text = plan(quality.dq_overlap(stored))
     assert shuffles(text) == 1 and "SortAggregate" not in text, text

@@ -206,6 +206,14 @@ def test_audit_skips_no_ops_and_untracked_columns(entries):
     assert [(r.forecast_entry_id, r.action, dict(r.changed_fields)["fte"].new) for r in got] == [("y", "UPDATE", "0.5000")]
 
 
+def test_audit_sees_a_value_move_between_columns(entries):
+    """Swapped NULLs hash alike unless each column goes with a flag."""
+    before = entries(dict(id="a", valid_from="2024-01", cls="x"), dict(id="b", valid_from="2024-01"))
+    after = entries(dict(id="a", valid_from="2024-01", grp="x"), dict(id="b", valid_from="2024-01"))
+    (record,) = audit.audit_diff(before, after, "u", F.lit(NOW)).collect()
+    assert record.forecast_entry_id == "a" and set(record.changed_fields) == {"classification_id", "employee_group_id"}
+
+
 def test_audit_keeps_removed_rows(entries):
     before = entries(dict(id="x", valid_from="2025-01"), dict(id="y", employee="B", valid_from="2025-01"))
     (got,) = audit.audit_diff(before, before.where("id = 'x'"), "u", F.lit(NOW)).collect()
