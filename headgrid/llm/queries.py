@@ -239,3 +239,36 @@ ORACLE["op12_hilbert_shards"] = _hilbert_sql()
 @query
 def op13_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_spelling_variants"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+texts AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zÀ-ÿ]+')) AS run FROM texts),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc_sql("doc_id::varchar || ':' || run")} AS h FROM counted CROSS JOIN crc_table),
+cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, cast(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (
+  SELECT word, at_letter, substr(word, 1, at_letter - 1) || substr(word, at_letter + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS at_letter FROM words) p),
+pairs AS (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.at_letter = b.at_letter AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, w.word FROM holes a JOIN words w ON w.word = a.rest
+  UNION
+  SELECT w.word, a.word FROM holes a JOIN words w ON w.word = a.rest),
+ranked AS (
+  SELECT p.word, p.other, o.n, row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS nth, count(*) OVER (PARTITION BY p.word) AS n_near
+  FROM pairs p JOIN words o ON o.word = p.other),
+forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 5 * w.n THEN r.other END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.nth = 1),
+ways AS (
+  SELECT word, coalesce(form, word) AS at_word, form IS NULL AS done FROM forms
+  UNION ALL
+  SELECT y.word, coalesce(f.form, y.at_word), f.form IS NULL FROM ways y JOIN forms f ON f.word = y.at_word WHERE NOT y.done)
+SELECT f.word, f.form, y.at_word AS root, f.n, f.n_near, f.form_n FROM forms f JOIN ways y ON y.word = f.word AND y.done
+"""
