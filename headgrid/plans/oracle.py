@@ -7,6 +7,9 @@ join or the row-by-row replay.
 
 from __future__ import annotations
 
+from headgrid import schema
+from headgrid.plans.rule_tables import RULE_TABLES, SOURCES
+
 ORDER_STATES = """
 order_states as (
   select o_orderkey, o_custkey, cast(date_trunc('month', o_orderdate) as date) as m,
@@ -416,6 +419,38 @@ where costcenter_id not in (select id from costcenters where is_active) group by
 union all select 'entries_employee', employee_id, count(*) from forecast_entries where employee_id not in (select id from employees) group by employee_id
 union all select 'entries_version', version_id, count(*) from forecast_entries where version_id not in (select id from forecast_versions) group by version_id
 union all select 'actuals_employee', employee_id, count(*) from employee_actuals where employee_id not in (select id from employees) group by employee_id"""
+
+
+def _rules_sql() -> str:
+    """One SELECT for each rule: GROUP BY for a key, NOT IN for a reference, WHERE for a row rule."""
+    names = {n: n for n in SOURCES}
+    tables = ",\n".join(f"{name} as materialized ({text.format(**names)})" for name, text in RULE_TABLES.items())
+
+    def broken(table, rule, key, rest):
+        return f"select '{table}' as \"table\", '{rule}' as rule, {key} as key, count(*) as n_rows from {table} {rest}"
+
+    def text(column):
+        return f"coalesce(cast({column} as varchar), '-')"
+
+    found = []
+    for table in RULE_TABLES:
+        own = schema.PRIMARY_KEY[table]
+        for unique in [[own], *schema.UNIQUE_KEYS.get(table, [])]:
+            columns = ", ".join(unique)
+            found.append(broken(table, "unique_" + "_".join(unique), " || '/' || ".join(map(text, unique)), f"group by {columns} having count(*) > 1"))
+        conditions = dict(schema.CHECKS.get(table, {}))
+        conditions |= {f"{c}_not_null": f"{c} is not null" for c in schema.NOT_NULL[table]}
+        conditions |= {f"{c}_length": f"length({c}) <= {n}" for c, n in schema.TEXT_LIMITS.get(table, {}).items()}
+        for rule, condition in conditions.items():
+            found.append(broken(table, rule, text(own), f"where not ({condition}) group by {own}"))
+    for table, column, parent in schema.FOREIGN_KEYS:
+        known = f"select {schema.PRIMARY_KEY[parent]} from {parent} where {schema.PRIMARY_KEY[parent]} is not null"
+        found.append(broken(table, f"{column}_in_{parent}", f"cast({column} as varchar)", f"where {column} is not null and {column} not in ({known}) group by {column}"))
+    found.append(broken("forecast_versions", "one_working_version", "'working'", "where status = 'working' having count(*) > 1"))
+    return f"with {tables}\n" + "\nunion all\n".join(found)
+
+
+ORACLE["dq_rules"] = _rules_sql()
 ORACLE["dq_overlap"] = """with spans as (
   select o_orderkey as id, o_custkey, cast(date_trunc('month', o_orderdate) as date) as m, cast(date_trunc('month', o_orderdate) + interval 3 month as date) as until from orders),
 starts as (select o_custkey, m, count(*) as n_rows, max(until) as until from spans group by o_custkey, m),
@@ -428,6 +463,9 @@ from found where over_until > m or n_rows > 1"""
 ORACLE["dq_immutable"] = _with(ACTUALS) + """select id, import_run_id, employee_id, costcenter_id, classification_id, employee_group_id, cast(fte as decimal(38,4)) as fte, period_start
 from employee_actuals where employee_group_id = 'EG_F'"""
 
+ORACLE["dq_immutable_audit"] = """select cast(event_id as varchar) as id, cast(day(ts) as varchar) as version_id, event_type as action, cast(user_id as varchar) as changed_by
+from events where day(ts) <= 8 and (event_id % 50 = 0 or event_id % 70 = 1)"""
+
 ORACLE["read_import_file"] = """select case when o_orderstatus = 'P' then 'quarantined' else 'loaded' end as outcome, cast(o_orderkey as varchar) as order_id,
   cast(case when o_orderstatus <> 'P' then (o_orderkey % 8 + 1) * 0.125 end as decimal(38,4)) as fte from orders"""
 ORACLE["import_actuals"] = _with(ACTUALS) + """select period_year, period_month, case when period_year < 1999 then 'refused' else 'loaded' end as outcome, row_count as n_rows from import_runs"""

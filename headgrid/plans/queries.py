@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from headgrid.functions.keys import subject_key, subject_kind
-from headgrid.operators import audit, diff, hierarchy, lookup, quality, rollup, scd2, snapshot, versions
+from headgrid.operators import audit, diff, hierarchy, lookup, quality, rollup, rules, scd2, snapshot, versions
 from headgrid.operators import upsert as upserts
+from headgrid.plans.rule_tables import RULE_TABLES, SOURCES
 from headgrid.schema import CHECKS
 from headgrid.session import shared_dir
 from headgrid.sources import derived, imports, publish
@@ -671,6 +672,14 @@ def dq_foreign_keys(spark, sf_dir):
     )
 
 
+@query
+def dq_rules(spark, sf_dir):
+    """All keys, references and row rules of the twelve tables, each with planted faults."""
+    given = {name: derived.read(spark, sf_dir, name) for name in SOURCES}
+    tables = {name: spark.sql(text, **{n: df for n, df in given.items() if f"{{{n}}}" in text}) for name, text in RULE_TABLES.items()}
+    return rules.check_rules(tables)
+
+
 @query
 def dq_overlap(spark, sf_dir):
     """Each order as a three-month assignment of its customer."""
@@ -694,7 +703,25 @@ def dq_immutable(spark, sf_dir):
     before = _wide(derived.employee_actuals(spark, sf_dir), "fte")
     group = F.when(F.col("employee_group_id") != "EG_F", F.col("employee_group_id"))
     after = before.withColumn("employee_group_id", group)
-    return quality.dq_immutable(before, after, before.columns)
+    return quality.dq_immutable(before, after, before.columns, "import_run_id")
+
+
+@query
+def dq_immutable_audit(spark, sf_dir):
+    """Audit records, a version for each day, against a later log: some records of eight days are lost or altered, others appended."""
+    events = derived.read(spark, sf_dir, "events")
+    fields = F.create_map(F.lit("fte"), F.struct(F.lit(None).cast("string").alias("old"), F.col("value").cast("string").alias("new")))
+    before = events.select(
+        F.col("event_id").cast("string").alias("id"), F.dayofmonth("ts").cast("string").alias("version_id"), F.col("event_type").alias("action"),
+        F.col("user_id").cast("string").alias("changed_by"), fields.alias("changed_fields"), F.col("event_id").alias("n"),
+    )
+    touched = F.col("version_id").cast("int") <= 8
+    after = before.where(~(touched & (F.col("n") % 50 == 0)))
+    other = F.create_map(F.lit("fte"), F.struct(F.lit(None).cast("string").alias("old"), F.lit("other").alias("new")))
+    after = after.withColumn("changed_fields", F.when(touched & (F.col("n") % 70 == 1), other).otherwise(F.col("changed_fields")))
+    after = after.unionByName(before.where("n % 90 = 2").withColumn("id", F.concat(F.lit("more "), F.col("id"))))
+    found = quality.dq_immutable(before.drop("n"), after.drop("n"), before.drop("n").columns, "version_id")
+    return found.drop("changed_fields")
 
 
 # Ingest

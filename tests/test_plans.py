@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from headgrid.operators import audit, diff, quality, rollup, scd2, snapshot, versions
+from headgrid.operators import audit, diff, quality, rollup, rules, scd2, snapshot, versions
 from headgrid.plans.queries import NOW
 from headgrid.sources import derived, tables
 
@@ -105,6 +105,20 @@ def test_foreign_key_values_are_counted_before_a_shuffled_join(spark, stored):
     assert text.index("Join") < text.index("partial_count")
 
 
+def test_all_rules_of_all_tables_take_one_shuffle(spark, stored):
+    given = {"forecast_entries": stored, "costcenters": tables.conform(derived.costcenters(spark, SMALL), "costcenters")}
+    text = plan(rules.check_rules(given))
+    assert shuffles(text) == 1 and "Join" not in text and "SortAggregate" not in text, text
+
+
+def test_unchanged_parts_are_not_shuffled(spark, stored):
+    found = quality.dq_immutable(stored, stored, stored.columns, "version_id")
+    assert "Exchange hashpartitioning" not in plan(found) and found.isEmpty()
+    digests = plan(quality._part_digests(stored, "version_id", stored.columns, "old"))
+    (exchange,) = re.findall(r"Exchange hashpartitioning\((\w+)#", digests)
+    assert exchange == "part" and digests.index("partial_sum") > digests.index("Exchange") and "SortAggregate" not in digests, digests
+
+
 def test_subject_diff_is_summed_by_hash_in_one_scan(spark, stored):
     found = diff.diff_versions_by_subject(stored, "v3", "v4", "1998-10-01")
     try:
