@@ -468,6 +468,10 @@ from events where day(ts) <= 8 and (event_id % 50 = 0 or event_id % 70 = 1)"""
 
 ORACLE["read_import_file"] = """select case when o_orderstatus = 'P' then 'quarantined' else 'loaded' end as outcome, cast(o_orderkey as varchar) as order_id,
   cast(case when o_orderstatus <> 'P' then (o_orderkey % 8 + 1) * 0.125 end as decimal(38,4)) as fte from orders"""
+ORACLE["read_csv_file"] = """select case when o_orderstatus = 'P'
+    then '"' || cast(o_orderkey as varchar) || '","' || o_orderpriority || chr(10) || 'the ""P"", and","C' || cast(o_custkey as varchar) || '","n/a"'
+    else '{"employee_id":"C' || cast(o_custkey as varchar) || '","first_name":"' || o_orderpriority || '\\nthe \\"' || o_orderstatus || '\\", and","last_name":"' || cast(o_orderkey as varchar) || '"}' end as content,
+  cast(case when o_orderstatus <> 'P' then (o_orderkey % 8 + 1) * 0.125 end as decimal(38,4)) as fte from orders"""
 ORACLE["import_actuals"] = _with(ACTUALS) + """select period_year, period_month, case when period_year < 1999 then 'refused' else 'loaded' end as outcome, row_count as n_rows from import_runs"""
 ORACLE["import_run_counts"] = _with(ACTUALS) + "select id, period_year, period_month, status, cast(row_count as integer) as row_count from import_runs"
 ORACLE["stream_import"] = _with(ACTUALS) + "select period_year + 10 as period_year, period_month, 'completed' as status, cast(row_count as integer) as row_count from import_runs"

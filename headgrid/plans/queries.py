@@ -758,6 +758,23 @@ def read_import_file(spark, sf_dir):
     return good.unionByName(bad)
 
 
+@query
+def read_csv_file(spark, sf_dir):
+    """Orders written as CSV with line breaks and quotes in a name, in which one status has no valid FTE."""
+    orders = derived.read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("last_name"),
+        F.concat(F.col("o_orderpriority"), F.lit('\nthe "'), F.col("o_orderstatus"), F.lit('", and')).alias("first_name"),
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("employee_id"),
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(((F.col("o_orderkey") % 8 + 1) * 0.125).cast("decimal(6,4)").cast("string")).alias("fte"),
+    )
+    path = _scratch(spark, "csv-file")
+    orders.write.csv(path, header=True, quoteAll=True, escape='"')
+    found = imports.read_import_file(spark, path, "csv")
+    values = [F.col(c) for c in ("employee_id", "first_name", "last_name")]
+    good = found.rows.select(F.to_json(F.struct(*values)).alias("content"), F.col("fte").cast("decimal(38,4)").alias("fte"))
+    return good.unionByName(found.quarantine.select(F.col("line").alias("content"), F.lit(None).cast("decimal(38,4)").alias("fte")))
+
+
 @query
 def import_actuals(spark, sf_dir):
     """All months are offered; those before 1999 were imported already."""

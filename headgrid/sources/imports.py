@@ -11,6 +11,7 @@ from headgrid.functions.keys import hashed_id
 from headgrid.operators.lookup import run_by_period
 from headgrid.operators.rules import check_table
 from headgrid.schema import IMPORT_ROW
+from headgrid.session import broadcast_if_small, cut
 from headgrid.sources.tables import conform
 
 BAD = "_corrupt_record"
@@ -30,23 +31,37 @@ class ImportFile:
 
 
 def read_import_file(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = IMPORT_ROW, **options) -> ImportFile:
-    """Read JSON lines, or CSV with a header line, with a fixed schema.
+    """Read JSON lines, or CSV records below a header, with a fixed schema.
 
-    A line that is broken, or holds a value of the wrong type, is set aside whole with
-    its text; it is neither loaded in part nor lost. CSV files of one load share
-    their header, which may name the columns in any order.
+    What is broken, or holds a value of the wrong type, is set aside whole with
+    its text; it is neither loaded in part nor lost.
+
+    A CSV record may have line breaks inside quotes, and doubled quotes stand for one. CSV files of one
+    load share their header, which may name the columns in any order; a file with another one is an
+    error. Only the first record of a file is its header. As records can't be found from the middle of such a
+    file, each file is read by one task, as a stream. A quote that never closes takes the rest of its file into one
+    record; so in a file with an odd number of quotes, records with line breaks are set aside, written anew as CSV.
     """
-    lines = spark.read.text(path)
     if fmt == "json":
-        return parse_import_lines(lines, schema=schema, **options)
+        return parse_import_lines(spark.read.text(path), schema=schema, **options)
     if fmt != "csv":
         raise ValueError(f"cannot import {fmt} files")
-    first = lines.first()
-    if first is None:
-        return parse_import_lines(lines, schema=schema)
-    names = [n.strip().strip('"') for n in first.value.split(options.get("sep", ","))]
-    in_file = T.StructType([schema[n] if n in schema.fieldNames() else T.StructField(n, T.StringType()) for n in names])
-    return parse_import_lines(lines.where(F.col("value") != first.value), schema=in_file, fmt="csv", **options)
+    # Without column pruning all values of a record are judged, whatever is read of it.
+    options = {"header": True, "multiLine": True, "escape": '"', "maxCharsPerColumn": -1, "columnPruning": False, **options}
+    names = [n.strip() for n in spark.read.options(**options).csv(path).columns]
+    known = [schema[n] if n in schema.fieldNames() else T.StructField(n, T.StringType()) for n in names]
+    with_bad = T.StructType([*known, T.StructField(BAD, T.StringType())])
+    reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=False, **options)
+    records = reader.schema(with_bad).csv(path).select("*", F.col("_metadata.file_path").alias("__file"))
+    quotes = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.sum(F.regexp_count("value", F.lit('"'))).alias("n"))
+    unclosed = broadcast_if_small(cut(quotes.where("n % 2 = 1").select("__file", F.lit(True).alias("__odd"))))
+    texts = F.concat(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in known if f.dataType == T.StringType()], F.lit(""))
+    doubtful = F.col("__odd").isNotNull() & F.contains(texts, F.lit("\n"))
+    anew = F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), {"escape": '"'})
+    line = F.coalesce(F.col(BAD), F.when(doubtful, anew))
+    judged = cut(records.join(unclosed, "__file", "left").withColumn("__line", line))
+    rows = [F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return ImportFile(judged.where("__line is null").select(*rows), judged.where("__line is not null").select(F.col("__line").alias("line")))
 
 
 def parse_import_lines(lines: DataFrame, column: str = "value", schema: T.StructType = IMPORT_ROW, fmt: str = "json", **options) -> ImportFile:
