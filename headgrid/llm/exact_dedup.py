@@ -1,10 +1,10 @@
 """Exact duplicates by progressive refinement: length, prefix hash, full hash.
 
-Lengths and prefix hashes are counted on narrow rows. Full texts are hashed only where both
-are shared: the shared pairs set bits in a map of fixed size, the one thing sent to all
-executors, and a second scan hashes the texts whose bit is set. A false hit costs a needless
-hash and never changes a result. Groups of equal length and SHA-256 are equal texts.
-Hot groups are counted by partial aggregation; no group is gathered.
+Lengths are counted first. Prefixes are hashed only of texts whose length is shared, and counted by length
+and prefix. Full texts are hashed only where both are shared. Between the steps nothing but a bit
+map of the shared keys is sent to the executors, so no text is shuffled; its size follows from their
+number, within a bound. A false hit costs a needless hash and never changes a result. Groups of equal length
+and SHA-256 are equal texts. Hot groups are counted by partial aggregation; no group is gathered.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from headgrid.llm.common import fresh, stored
 
 PREFIX_CHARS = 256
-#: 2^24 bits are at most 512 rows of 4 KB, 2 MB in all.
-MAP_BITS = 1 << 24
+#: Bits of a map for each shared key, and the largest map: 2^28 bits are 8,192 rows of 4 KB, 32 MB in all. Beyond 2^27
+#: keys a full map lets most texts through to the next hash, which costs less than a join that shuffles texts.
+BITS_PER_KEY = 16
+MAX_BITS = 1 << 28
 #: Bits in one value of bitmap_construct_agg.
 PART_BITS = 32_768
 
@@ -24,34 +26,57 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def _short(text_col: str, prefix_chars: int) -> tuple[Column, Column]:
-    text = _text(text_col)
-    return F.octet_length(text), F.xxhash64(F.substring(text, 1, prefix_chars))
+def _length(text_col: str) -> Column:
+    return F.octet_length(_text(text_col))
 
 
-def shared_prefixes(docs: DataFrame, text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """(length, prefix) that two or more texts share; lengths that occur once go first."""
-    length, prefix = _short(text_col, prefix_chars)
-    counts = docs.groupBy(length.alias("length"), prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    counts = stored(counts, "prefixes")
-    lengths = counts.groupBy("length").agg(F.sum("n").alias("m")).where("m > 1").select("length")
-    return counts.join(lengths, "length", "left_semi").where("n > 1").select("length", "prefix")
+def _prefix(text_col: str, prefix_chars: int) -> Column:
+    return F.xxhash64(F.substring(_text(text_col), 1, prefix_chars))
 
 
-def mark_candidates(docs: DataFrame, text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> tuple[DataFrame, str]:
-    """``docs`` and a boolean column, whose name is returned: False where no other text can be equal."""
-    slot = F.pmod(F.xxhash64("length", "prefix"), F.lit(MAP_BITS))
-    slots = shared_prefixes(docs, text_col, prefix_chars).select(slot.alias("slot"))
-    bit_map = slots.groupBy(F.floor(F.col("slot") / PART_BITS).alias("part")).agg(
-        F.bitmap_construct_agg(F.col("slot") % PART_BITS).alias("bits")
-    )
-    slot_of, part, bits, flag = (fresh(docs, n) for n in ("slot_of", "part_of", "bits_of", "candidate"))
-    rows = docs.withColumn(slot_of, F.pmod(F.xxhash64(*_short(text_col, prefix_chars)), F.lit(MAP_BITS)))
-    rows = rows.join(F.broadcast(bit_map.toDF(part, bits)), F.floor(F.col(slot_of) / PART_BITS) == F.col(part), "left")
+def map_bits(n_keys: int) -> int:
+    """Size of the map for so many keys: a power of two with BITS_PER_KEY or more for each, within MAX_BITS."""
+    return min(MAX_BITS, max(PART_BITS, 1 << (BITS_PER_KEY * max(n_keys, 1) - 1).bit_length()))
+
+
+def _mark(rows: DataFrame, key: list[Column], keys: DataFrame, flag: str, where: Column | None = None) -> DataFrame:
+    """``rows`` and ``flag``: whether ``key`` may be among the rows of ``keys``, False if it is not; looked up only ``where``."""
+    bits = map_bits(keys.count())
+    slot = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
+    parts = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / PART_BITS).alias("part"))
+    slot_of, part, held = (fresh(rows, n) for n in ("slot_of", "part_of", "bits_of"))
+    bit_map = parts.agg(F.bitmap_construct_agg(F.col("slot") % PART_BITS)).toDF(part, held)
+    own = F.pmod(F.xxhash64(*key), F.lit(bits))
+    found = rows.withColumn(slot_of, own if where is None else F.when(where, own))
+    found = found.join(F.broadcast(bit_map), F.floor(F.col(slot_of) / PART_BITS) == F.col(part), "left")
     at = F.col(slot_of) % PART_BITS
-    byte = F.conv(F.hex(F.substr(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substr(F.col(held), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], hit.alias(flag)), flag
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], hit.alias(flag))
+
+
+def shared_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Lengths that two or more texts have."""
+    return docs.groupBy(_length(text_col).alias("length")).agg(F.count("*").alias("n")).where("n > 1").select("length")
+
+
+def mark_shared_lengths(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` and a boolean column, whose name is returned: False where no other text has the length."""
+    flag = fresh(docs, "shared_length")
+    return _mark(docs, [_length(text_col)], stored(shared_lengths(docs, text_col), "lengths"), flag), flag
+
+
+def mark_candidates(docs: DataFrame, text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> tuple[DataFrame, str]:
+    """``docs`` and a boolean column, whose name is returned: False where no other text can be equal.
+
+    Only texts with a shared length have their prefix hashed, both for the counts and for the mark.
+    """
+    rows, length_shared = mark_shared_lengths(docs, text_col)
+    key = [_length(text_col), _prefix(text_col, prefix_chars)]
+    counts = rows.where(length_shared).groupBy(key[0].alias("length"), key[1].alias("prefix")).agg(F.count("*").alias("n"))
+    shared = stored(counts.where("n > 1").select("length", "prefix"), "prefixes")
+    flag = fresh(rows, "candidate")
+    return _mark(rows, key, shared, flag, F.col(length_shared)).drop(length_shared), flag
 
 
 def _tie(docs: DataFrame, id_col: str, text_col: str) -> Column:

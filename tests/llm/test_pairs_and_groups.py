@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -155,3 +156,25 @@ def test_full_texts_are_hashed_for_candidates_only(spark):
     docs = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other"), (4, "longer text")], "doc_id long, text string")
     marked, flag = exact_dedup.mark_candidates(docs)
     assert {r["doc_id"]: r[flag] for r in marked.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_each_step_hashes_only_what_the_step_before_leaves(spark):
+    tail = ["a", "a", "b"]  # equal in length and prefix, the last one different
+    texts = ["alone and longest" * 40, *["p" * 300 + t for t in tail], *["q" * 300 + "a"], "four", "five", "seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked, flag = exact_dedup.mark_shared_lengths(docs)
+    prefix_hashed = {r["doc_id"] for r in marked.collect() if r[flag]}
+    marked, flag = exact_dedup.mark_candidates(docs)
+    full_hashed = {r["doc_id"] for r in marked.collect() if r[flag]}
+    assert prefix_hashed == {1, 2, 3, 4, 5, 6} and full_hashed == {1, 2, 3}
+    groups = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect()}
+    assert groups == {i: (i, 1, True) for i in range(8)} | {1: (2, 2, False), 2: (2, 2, True)}
+    # the prefix of a text is hashed only where its length is shared
+    text = marked._jdf.queryExecution().optimizedPlan().toString()
+    guarded = re.findall(r"THEN pmod\(xxhash64\(octet_length\([^)]*\)\), xxhash64\(substring\(", text)
+    assert len(guarded) == text.count("substring(") == 1, text
+
+
+def test_maps_follow_the_number_of_keys():
+    sizes = [exact_dedup.map_bits(n) for n in (0, 1, 2048, 2049, 10**6, 10**12)]
+    assert sizes == [32768, 32768, 32768, 65536, 1 << 24, exact_dedup.MAX_BITS]
