@@ -121,15 +121,22 @@ def crc_fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(parts)
 
 
+#: Most frequent classes that a sample is drawn of, and rows of all classes together.
+MAX_CLASSES, MAX_SAMPLE = 256, 20_000
 
-def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int) -> tuple[DataFrame, dict]:
+
+def bounded_sample(
+    rows: DataFrame, class_col: str, id_col: str, per_class: int, max_classes: int = MAX_CLASSES, max_rows: int = MAX_SAMPLE
+) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each class, by a hash of the id, and {class: rows / expected rows of the sample}.
 
-    Never more than twice that in all. Rows without a class or id are left out. The
-    classes are few, so that their counts come to the driver.
+    Never more than twice that in all. Rows without a class or id are left out. Only the ``max_classes`` most frequent
+    classes are learned, and with many of them fewer rows of each, so that about ``max_rows`` are drawn in all.
     """
     known = rows.where(F.col(class_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(class_col).count().collect()}
+    frequent = known.groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(max_classes)
+    counts = {r[0]: r[1] for r in frequent.collect()}
+    per_class = min(per_class, max(1, max_rows // max(1, len(counts))))
     rates = {c: min(1.0, per_class / n) for c, n in counts.items()}
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(0.0)

@@ -1,19 +1,22 @@
 """Language identification by hierarchical discrimination.
 
 Character n-grams of the whole text are hashed into a vector. Linear support vector machines
-first tell language families apart; within the family, one machine for each language against
-its relatives decides. The machines are learned from a bounded sample of each language.
+first tell language families apart, one for each family against the others. Within the family there is a
+machine for each pair of languages, learned from those two alone; each gives one vote, and the sum
+of its margins decides between languages with equal votes. The machines are learned from a bounded sample of
+each language.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headgrid.llm.common import bounded_sample, crc_fold, map_texts, sigmoid
+from headgrid.llm.common import bounded_sample, crc_fold, map_texts, sigmoid, stored
 
 DIM = 2048
 PER_LANGUAGE = 1000
@@ -79,7 +82,7 @@ def linear_svm(x: np.ndarray, positive: np.ndarray, weights: np.ndarray, penalty
 
 @dataclass
 class Model:
-    """``families``: names with a machine each; ``languages``: of each family, names with a machine each."""
+    """``families``: names with a machine each; ``languages``: of each family, names and a machine for each pair of them, in order."""
 
     families: list[str]
     family_w: np.ndarray
@@ -95,12 +98,40 @@ class Model:
         score = float(sigmoid(4 * margins.max())) if len(self.families) > 1 else 1.0
         names, w = self.languages[family]
         if len(names) > 1:
-            margins = w[:, :-1] @ x + w[:, -1]
-            score *= float(sigmoid(4 * margins.max()))
-            return names[int(np.argmax(margins))], score
+            best, margin = elect(len(names), w[:, :-1] @ x + w[:, -1])
+            return names[best], score * float(sigmoid(4 * margin))
         return names[0], score
 
 
+def elect(n: int, margins: np.ndarray) -> tuple[int, float]:
+    """The language with most votes, and its smallest margin against another.
+
+    ``margins`` are those of the pairs (0, 1), (0, 2), ... (n - 2, n - 1), positive for the first. Among equal votes
+    the largest sum of margins decides, then the first language.
+    """
+    against = np.full((n, n), np.inf)
+    first, second = np.triu_indices(n, 1)
+    against[first, second], against[second, first] = margins, -margins
+    votes = ((against > 0) & np.isfinite(against)).sum(axis=1)
+    total = np.where(np.isfinite(against), against, 0).sum(axis=1)
+    best = max(range(n), key=lambda i: (votes[i], total[i], -i))
+    return best, float(against[best].min())
+
+
+def _balanced(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A machine for ``own`` against the other rows, both sides with equal weight."""
+    return linear_svm(x, own, np.where(own, 0.5 / own.sum(), 0.5 / (~own).sum()))
+
+
+def _one_against_one(x: np.ndarray, y: np.ndarray, names: list[str]) -> np.ndarray:
+    """k (k - 1) / 2 machines, each from the rows of its two languages."""
+    out = []
+    for one, other in combinations(names, 2):
+        pair = (y == one) | (y == other)
+        out.append(_balanced(x[pair], y[pair] == one))
+    return np.array(out, dtype=np.float32).reshape(len(out), x.shape[1] + 1)
+
+
 def _one_against_rest(x: np.ndarray, y: np.ndarray, names: list[str]) -> np.ndarray:
     out = []
     for name in names:
@@ -110,32 +141,40 @@ def _one_against_rest(x: np.ndarray, y: np.ndarray, names: list[str]) -> np.ndar
         elif own.all():
             out.append(np.zeros(x.shape[1] + 1, dtype=np.float32))
         else:
-            out.append(linear_svm(x, own, np.where(own, 0.5 / own.sum(), 0.5 / max(1, (~own).sum()))))
+            out.append(_balanced(x, own))
     return np.array(out, dtype=np.float32)
 
 
 def fit_language_model(
     docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, dim: int = DIM
 ) -> Model:
-    """Learn from about ``per_language`` rows of each language (the only bound; twice that at most in all)."""
-    sample, _ = bounded_sample(docs.select(id_col, lang_col, text_col), lang_col, id_col, per_language)
+    """Learn from about ``per_language`` rows of each language (the only bound; twice that at most in all).
+
+    Ids alone are drawn in one task and broadcast, at most twice ``common.MAX_SAMPLE``; texts stay where they are
+    read. Of rows with the same id and language one is learned from.
+    """
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    drawn = stored(bounded_sample(known, "lang", "id", per_language)[0].distinct(), "sample")
+    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = named.join(F.broadcast(drawn), ["id", "lang"], "left_semi")
 
     def work(texts):
         found = (features(t, dim) for t in texts)
         return [[None if x is None else x.tobytes() for x in found]]
 
-    rows = map_texts(sample, work, "x binary", (lang_col,), text_col).where("x is not null").collect()
+    vectors = map_texts(sample, work, "x binary", ("id", "lang")).where("x is not null")
+    rows = vectors.groupBy("id", "lang").agg(F.min("x").alias("x")).orderBy("lang", "id").collect()
     if not rows:
         return Model([], np.zeros((0, dim + 1), dtype=np.float32), {}, dim)
     x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in rows])
-    y = np.array([r[lang_col] for r in rows], dtype=object)
+    y = np.array([r["lang"] for r in rows], dtype=object)
     kin = np.array([family_of(lang) for lang in y], dtype=object)
     families = sorted(set(kin))
     languages = {}
     for family in families:
         own = kin == family
         names = sorted(set(y[own]))
-        languages[family] = names, _one_against_rest(x[own], y[own], names)
+        languages[family] = names, _one_against_one(x[own], y[own], names)
     return Model(families, _one_against_rest(x, kin, families), languages, dim)
 
 

@@ -54,8 +54,11 @@ class Mix:
 
 
 def words_of(text: Column) -> Column:
-    plain = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")))
-    return F.array_remove(F.split(plain, " "), "")
+    """Lower-cased words between ASCII white space."""
+    plain = F.coalesce(text, F.lit(""))
+    for space in "\t\n\v\f\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
 def _bucket(word: Column) -> Column:

@@ -4,10 +4,11 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from headgrid.llm import html_extract, langid, mixing, quality_rank, quality_rules, toxicity
+from headgrid.llm import common, html_extract, langid, mixing, quality_rank, quality_rules, toxicity
 
 SMALL = "/root/testdata/sf0.01"
 EDGE = [(1, None), (2, ""), (3, " \n"), (None, "a b"), (4, "one two"), (4, "one two"), (5, "word " * 30_000)]
@@ -108,6 +109,42 @@ def test_language_held_out(docs):
     assert found.where("held_out").count() == sum(zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in docs.select("doc_id").collect())
 
 
+def test_votes_of_pairs_equal_brute_force():
+    draw = random.Random(12)
+    for n in (2, 3, 4, 7):
+        for _ in range(200):
+            margin = {(i, j): draw.choice([-2.0, -1.0, -0.5, 0.5, 1.0, 2.0]) for i in range(n) for j in range(i + 1, n)}
+            own = [[margin[i, j] if i < j else -margin[j, i] for j in range(n) if j != i] for i in range(n)]
+            order = sorted(range(n), key=lambda i: (-sum(m > 0 for m in own[i]), -sum(own[i]), i))
+            assert langid.elect(n, np.array([margin[k] for k in sorted(margin)])) == (order[0], min(own[order[0]]))
+
+
+def test_three_close_languages(spark):
+    """Languages of one family that share most of their words; each pair has words of its own."""
+    draw = random.Random(8)
+    shared = ["".join(draw.choice("aeioudnrstlm") for _ in range(draw.randint(2, 7))) for _ in range(80)]
+    marks = {"da": ["hvad", "kage", "bage"], "no": ["hva", "kake", "bake"], "sv": ["vad", "kaka", "baka"], "fr": ["quoi", "gâteau"]}
+    rows = []
+    for i in range(800):
+        lang = draw.choice(list(marks))
+        rows.append((i, lang, " ".join(draw.choice(shared) if draw.random() < 0.8 else draw.choice(marks[lang]) for _ in range(40))))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit_language_model(docs)
+    names, machines = model.languages["germanic"]
+    assert names == ["da", "no", "sv"] and len(machines) == 3 and len(model.languages["romance"][1]) == 0
+    found = langid.language_id(docs.repartition(3)).where("held_out").join(docs, "doc_id")
+    right, n = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 200 and right / n > 0.97
+
+
+def test_many_languages_and_repeated_ids_stay_bounded(spark):
+    rows = [(i, f"l{i % 300:03d}", "abc def") for i in range(1200)] + [(5000, "l000", f"text {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    sample, weights = common.bounded_sample(docs, "lang", "doc_id", 1000, max_classes=40, max_rows=80)
+    assert len(weights) == 40 and sample.count() <= 160
+    assert len(langid.fit_language_model(docs.where("lang < 'l003'")).families) == 3
+
+
 def test_language_edges(spark, docs, edge):
     model = langid.fit_language_model(docs)
     got = [(r["lang_pred"], r["score"]) for r in langid.predict_language(edge, model, ("doc_id",)).collect()]
@@ -246,6 +283,12 @@ def test_rates_equal_brute_force(spark):
     assert sum((after[d] - goals[d]) ** 2 for d in goals) < 0.2 * sum((before[d] - goals[d]) ** 2 for d in goals)
 
 
+def test_words_end_at_any_ascii_white_space(spark):
+    text = "One\rtwo\r\nTHREE\x0bfour\x0cfive\tsix seven\u00a0still "
+    got = spark.createDataFrame([(text,), (None,), (" \r\n",)], "t string").select(mixing.words_of(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in got] == [["one", "two", "three", "four", "five", "six", "seven\u00a0still"], [], []]
+
+
 def test_unfinished_fit_is_reported(spark):
     frame = spark.createDataFrame([(1, 100, 0.51, 0.49), (2, 100, 0.49, 0.51)], "id long, tokens long, p_0 double, p_1 double")
     mix = mixing.Mix(["a", "b"], [], [])
@@ -283,7 +326,7 @@ def test_broadcasts_have_a_bound():
 
     root = pathlib.Path(mixing.__file__).parent
     used = {p.name: p.read_text().count("F.broadcast(") for p in root.glob("*.py") if "F.broadcast(" in p.read_text()}
-    # the bit map has at most 512 rows of 4 KB; the sample is cut to 2 * per_class * classes rows of an id and a label;
+    # a bit map has at most 8,192 rows of 4 KB; the language sample is 2 * MAX_SAMPLE ids; the sample is cut to 2 * per_class * classes rows of an id and a label;
     # a sort has a row of two numbers for each task; shards have a row for each cut, and one for each task and shard
-    assert used == {"exact_dedup.py": 1, "common.py": 2, "hilbert.py": 2}
+    assert used == {"exact_dedup.py": 1, "common.py": 2, "hilbert.py": 2, "langid.py": 1}
     assert not any("localCheckpoint" in p.read_text() or "crossJoin" in p.read_text() for p in root.glob("*.py"))
