@@ -186,6 +186,62 @@ def test_toxicity_keeps_rare_insults(spark):
     assert ratios["zoink"] > 1 and ratios["often"] > 1 and max(abs(ratios[w]) for w in plain) < 0.5
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Both models written out as probabilities of every word, the unseen one included."""
+    draw = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        words = draw.choices(vocabulary, weights=[1 / (k + 1) for k in range(60)], k=draw.randint(0, 30))
+        toxic = draw.random() < 0.3
+        if toxic and draw.random() < 0.7:
+            words += draw.choice([["You", "fool!"], ["fool", "w3"], ["odd", f"once{i}"]])
+        rows.append((" ".join(words) if words else None, toxic))
+    model = toxicity.fit_model(spark.createDataFrame(rows, "text string, label_ boolean").repartition(4))
+
+    counts = {}
+    for text, toxic in rows:
+        words = [w.strip("!").lower() for w in (text or "").split()]
+        for word in set(words):
+            before = {a for a, b in zip([None] + words, words) if b == word}
+            counts.setdefault(word, [0, 0])[0 if toxic else 1] += min(2, len(before))
+    total = [sum(c[k] for c in counts.values()) for k in (0, 1)]
+
+    def discount(k):
+        n = [max(1, sum(c[k] == i for c in counts.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [min(max(x, lo), hi) for x, lo, hi in zip(raw, (0.3, 0.6, 0.8), (0.98, 1.9, 2.8))]
+
+    less = [discount(0), discount(1)]
+
+    def chance(word, k):
+        own = {}
+        for w, c in counts.items():
+            expected = sum(c) * total[k] / sum(total)
+            own[w] = max(0.0, c[k] - less[k][min(max(c[k], 1), 3) - 1] - expected - toxicity.NOISE * expected**0.5) / total[k]
+        shared = (sum(counts.get(word, [0, 0])) + 0.5) / (sum(total) + 0.5 * (len(counts) + 1))
+        return own.get(word, 0.0) + (1 - sum(own.values())) * shared
+
+    for k in (0, 1):
+        assert math.isclose(sum(chance(w, k) for w in [*counts, "unseen"]), 1, rel_tol=1e-9)
+    for text in [r[0] for r in rows[:60]] + ["you FOOL! w3 never-seen fool", "", None, "... ,"]:
+        words = [w for w in (text or "").lower().replace("!", "").split() if w not in ("...", ",")]
+        want = sum(math.log(chance(w, 0) / chance(w, 1)) for w in words) / max(1, len((text or "").split())) ** toxicity.POWER
+        assert math.isclose(model.difference(text), want, abs_tol=1e-9)
+    assert model.ratios["fool"] > 1
+
+
+def test_weak_evidence_of_rare_words_adds_up(spark):
+    """Three words, each in 4 toxic and no ordinary documents of 3,000: none is dropped, together they tell."""
+    draw = random.Random(9)
+    plain = [f"{a}{b}{c}" for a in ("ba", "do", "ke", "mi") for b in ("ra", "lo", "tu", "ni") for c in "lmnrst"]
+    rows = [(" ".join(draw.choices(plain, k=30) + [f"bad{i // 10 % 3}"] * 2 * (i % 10 == 0 and i < 120)), i % 10 == 0) for i in range(3000)]
+    model = toxicity.fit_model(spark.createDataFrame(rows, "text string, label_ boolean"))
+    one, three = model.difference("bad0 " + rows[1][0]), model.difference("bad0 bad1 bad2 " + rows[1][0])
+    assert min(model.ratios[f"bad{k}"] for k in range(3)) > 0.5 and three > 2 * one - 0.1 > model.difference(rows[1][0])
+
+
 def test_quality_rank_held_out(docs, labels):
     found = quality_rank.quality_rank(docs, labels).join(labels, "doc_id").where("held_out")
     assert found.where("predicted = quality").count() / found.count() > 0.97
