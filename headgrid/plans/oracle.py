@@ -371,9 +371,32 @@ from a where k not in (select k from b)"""
 ORACLE["audit_explode"] = _with(MIXED_FEED, FEED_AUDIT) + "select subject_key, valid_from, action, field, old, new from feed_audit where action <> 'INSERT'"
 ORACLE["audit_entry_history"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select subject_key, valid_from, action, changed_by, {TIME_TEXT} as changed_at from feed_audit
 where ends_deleted"""
-ORACLE["audit_version_feed"] = _with(MIXED_FEED, FEED_AUDIT) + f"""select action, changed_by, case when subject_kind = 'employee' then subject_key end as employee_id,
-  case when subject_kind = 'container' then subject_key end as container_id, costcenter_id, {TIME_TEXT} as changed_at
-from feed_audit f order by f.changed_at desc, action limit 200"""
+
+
+def _id(*parts: str) -> str:
+    """The text id that ``hashed_id`` makes of parts: each with its length, null as a mark of its own."""
+    text = " || ".join(f"coalesce(cast(length({p}) as varchar) || ':' || {p}, '-')" for p in parts)
+    return f"regexp_replace(md5({text}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+FEED_LOG = f"""
+entry_rows as (
+  select *, case when subject_kind = 'employee' then subject_key end as employee_id, case when subject_kind = 'container' then subject_key end as container_id
+  from feed_rows),
+entry_ids as (
+  select *, {_id("''", "'feed'", "employee_id", "container_id", "cast(valid_from as varchar)", "cast(event_id as varchar)")} as id from entry_rows),
+feed_log as (
+  select id as forecast_entry_id, 'INSERT' as action, 'by-' || event_type as changed_by, ts as changed_at, cast(null as varchar) as as_json from entry_ids
+  union all
+  select id, 'UPDATE', 'by-' || next_type, next_ts, '{{"valid_to":{{"new":"' || cast(valid_to as varchar) || '"}}}}' from entry_ids where valid_to is not null
+  union all
+  select id, 'DELETE', 'by-' || next_type, next_ts, '{{"is_deleted":{{"old":"false","new":"true"}}}}' from entry_ids where is_deleted)"""
+LOG_ID = _id("a.forecast_entry_id", "a.action", "cast(a.changed_at as varchar)", "a.as_json")
+ORACLE["audit_version_feed"] = _with(MIXED_FEED, FEED_LOG) + f"""select a.forecast_entry_id, a.action, a.changed_by, r.employee_id, r.container_id, r.costcenter_id,
+  {TIME_TEXT} as changed_at
+from feed_log a join entry_ids r on r.id = a.forecast_entry_id
+order by a.changed_at desc, a.action, {LOG_ID} desc
+limit 200"""
 
 STORED_TIME = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 ORACLE["stream_stored_changes"] = _with(MIXED_FEED) + f"""select {FEED_COLUMNS}, 'U' || cast(user_id as varchar) as first_name, event_type as last_name,

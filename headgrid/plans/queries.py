@@ -605,7 +605,9 @@ def audit_entry_history(spark, sf_dir):
 def audit_version_feed(spark, sf_dir):
     done = _feed_audit(spark, sf_dir)
     top = audit.audit_version_feed(done.audit, done.inserted, "feed", FEED_SIZE)
-    return top.select("action", "changed_by", "employee_id", "container_id", "costcenter_id", _time("changed_at"))
+    return top.select(
+        "forecast_entry_id", "action", "changed_by", "employee_id", "container_id", "costcenter_id", _time("changed_at")
+    )
 
 
 # Data quality
