@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headgrid.functions.keys import join_on, subject_key, subject_kind
@@ -11,15 +13,25 @@ from headgrid.session import broadcast_if_small, cut
 OPEN_END = "9999-12-31"
 #: More than twice the days from year 1 to 9999, so that two days fit into one number.
 SPAN = 1 << 24
+#: Rows of a task that looks for repeated keys.
+KEY_ROWS = 500_000
 
 
 def _key_text(columns: list[str]) -> Column:
     return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
 
 
-def dq_unique(table: DataFrame, rule: str, key: list[str]) -> DataFrame:
-    """Keys held by more than one row, with how many."""
-    counted = table.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+def dq_unique(table: DataFrame, rule: str, key: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Keys held by more than one row, with how many.
+
+    Nearly all keys differ, so that counts combined before the shuffle would hold as many keys as a task reads. Only
+    the keys are shuffled, uncombined, to as many tasks as give each about KEY_ROWS rows: what a task holds doesn't
+    grow with the table. A key of very many rows is one count. The rows are counted on ``sizes``, a table of at least
+    as many rows, where that is cheaper to read.
+    """
+    n_rows = (table if sizes is None else sizes).count()
+    keys = table.select(*key).repartition(max(1, math.ceil(n_rows / KEY_ROWS)), *key)
+    counted = keys.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     return counted.select(F.lit(rule).alias("rule"), _key_text(key).alias("key"), "n_rows")
 
 

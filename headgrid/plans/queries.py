@@ -13,7 +13,7 @@ from headgrid.operators import audit, diff, hierarchy, lookup, quality, rollup,
 from headgrid.operators import upsert as upserts
 from headgrid.plans.rule_tables import RULE_TABLES, SOURCES
 from headgrid.schema import CHECKS
-from headgrid.session import shared_dir
+from headgrid.session import cut, shared_dir
 from headgrid.sources import derived, imports, publish
 from headgrid.sources.tables import conform, read_table, write_json, write_table
 from headgrid.streaming import changes as change_stream
@@ -616,12 +616,12 @@ def audit_version_feed(spark, sf_dir):
 @query
 def dq_unique(spark, sf_dir):
     lines, orders = derived.read(spark, sf_dir, "lineitem"), derived.read(spark, sf_dir, "orders")
-    actuals, runs = derived.employee_actuals(spark, sf_dir), derived.import_runs(spark, sf_dir)
+    actuals, runs = derived.employee_actuals(spark, sf_dir), cut(derived.import_runs(spark, sf_dir))
     return quality.union_all(
         [
             quality.dq_unique(lines, "lineitem_key", ["l_orderkey", "l_linenumber"]),
             quality.dq_unique(orders, "orders_key", ["o_orderkey"]),
-            quality.dq_unique(actuals, "actuals_run_employee", ["import_run_id", "employee_id"]),
+            quality.dq_unique(actuals, "actuals_run_employee", ["import_run_id", "employee_id"], sizes=orders),
             quality.dq_unique(runs, "runs_period", ["period_year", "period_month"]),
         ]
     )

@@ -468,3 +468,15 @@ def test_two_working_versions_are_an_error(spark):
     two = spark.createDataFrame([("a", "working"), ("b", "working")], "id string, status string")
     with pytest.raises(Exception, match="more than one working version"):
         lookup.working_version(two).collect()
+
+
+def test_repeated_keys_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
+    rows = [(i, "x") for i in range(1000)] + [(5, "x")] + [(None, None)] * 40 + [(None, "x"), (3, None)] + [(7, "y")] * 60
+    table = spark.createDataFrame(rows, "a int, b string")
+    monkeypatch.setattr(quality, "KEY_ROWS", 100)
+    found = quality.dq_unique(table, "r", ["a", "b"])
+    assert sorted(tuple(r) for r in found.collect()) == [("r", "-/-", 40), ("r", "5/x", 2), ("r", "7/y", 60)]
+    text = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert ", 12), REPARTITION_BY_NUM" in text and text.rindex("HashAggregate") < text.index("REPARTITION_BY_NUM")
+    assert quality.dq_unique(table.limit(0), "r", ["a"]).collect() == []
+    assert quality.dq_unique(table, "r", ["b"], sizes=spark.range(1)).count() == 3
