@@ -186,6 +186,27 @@ def test_toxicity_keeps_rare_insults(spark):
     assert ratios["zoink"] > 1 and ratios["often"] > 1 and max(abs(ratios[w]) for w in plain) < 0.5
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 7).cast("string")).alias("text"))
+    labels = rows.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    seen, fit_model, fit_curve = [], toxicity.fit_model, toxicity.fit_curve
+    monkeypatch.setattr(toxicity, "fit_model", lambda rows, *a: [seen.append(rows.count()), fit_model(rows, *a)][1])
+    monkeypatch.setattr(toxicity, "fit_curve", lambda points, *a: [seen.append(points.count()), fit_curve(points, *a)][1])
+    toxicity.fit_toxicity(rows, labels, common.crc_fold("doc_id", 5) != 0)
+    assert len(seen) == 2 and sum(seen) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30_000))
+
+
+def test_toxicity_curve_equals_newton_over_all_rows(spark):
+    draw = random.Random(5)
+    points = [(x, draw.random() < 1 / (1 + math.exp(-4 * x))) for x in (draw.uniform(-1, 1) for _ in range(500))]
+    got = toxicity.fit_curve(spark.createDataFrame(points, "x double, label_ boolean").repartition(7))
+    x, y = np.array([p[0] for p in points]), np.array([float(p[1]) for p in points])
+    z = np.stack([np.ones(len(x)), x / x.std()], axis=1)
+    p = common.sigmoid(z @ (got * [1, x.std()]))
+    assert np.abs(z.T @ (y - p) - 1e-4 * len(x) * got * [1, x.std()]).max() < 1e-3
+    assert toxicity.fit_curve(spark.createDataFrame([(1.0, True)], "x double, label_ boolean")) is None
+
+
 def test_toxicity_equals_brute_force(spark):
     """Both models written out as probabilities of every word, the unseen one included."""
     draw = random.Random(21)
