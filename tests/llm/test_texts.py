@@ -268,6 +268,54 @@ def test_quality_rank_held_out(docs, labels):
     assert found.where("predicted = quality").count() / found.count() > 0.97
 
 
+def _stats_frame(spark, stats, good):
+    rows = [(*map(float, s), bool(g)) for s, g in zip(stats, good)]
+    return spark.createDataFrame(rows, ", ".join(f"{n} double" for n in quality_rank.STAT_NAMES) + ", good boolean").repartition(5)
+
+
+def test_quality_learns_from_all_pairs_of_labelled_rows(spark):
+    """Model, steps and cut against every pair and every threshold written out."""
+    draw = np.random.default_rng(4)
+    stats, good = np.round(draw.normal(size=(150, quality_rank.N_STATS)), 2), draw.random(150) < 0.7
+    stats[good, 0] += 1
+    rows = _stats_frame(spark, stats, good)
+    model = quality_rank.fit_quality(rows)
+    assert np.allclose(model.edges, np.quantile(stats, np.linspace(0, 1, quality_rank.STEPS + 2)[1:-1], axis=0).T)
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, stats.std(axis=0))
+    x = model.features(stats)
+    better = (x[good][:, None] - x[~good][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = common.sigmoid(-(better @ w))
+        w = w + np.linalg.solve((better * (p * (1 - p))[:, None]).T @ better / len(better) + 0.01 * np.eye(len(w)), better.T @ p / len(better) - 0.01 * w)
+    assert np.abs(model.weights - w).max() < 0.02 and np.corrcoef(x @ w, x @ model.weights)[0, 1] > 0.9999
+    ranks = x @ model.weights
+    errors = [((ranks > c) != good).sum() for c in [ranks.min() - 1, *ranks]]
+    assert ((ranks > model.cut) != good).sum() == min(errors)
+    assert np.isclose(model.spread, ranks.std() / 4)
+    assert quality_rank.fit_quality(rows.where("good")) is None and quality_rank.fit_quality(rows.limit(0)) is None
+
+
+def test_quality_counts_every_labelled_row(spark, monkeypatch):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    monkeypatch.setattr(quality_rank, "fit_quality", lambda rows, *a: seen.append(rows.count()))
+    assert {r["score"] for r in quality_rank.quality_rank(docs, labels).collect()} == {0.5}
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(12_000))]
+
+
+def test_best_cut_equals_every_threshold(spark):
+    draw = random.Random(8)
+    for n in (1, 2, 60):
+        rows = [(draw.choice([0.5, -1.25, draw.gauss(0, 1)]), draw.random() < 0.6) for _ in range(n)]
+        ranks = sorted({r for r, _ in rows})
+        gaps = list(zip([ranks[0] - 1, *ranks], [*ranks, ranks[-1] + 1]))
+        wrong = [sum(g if r <= low else not g for r, g in rows) for low, _ in gaps]
+        low, high = max((g for g, k in zip(gaps, wrong) if k == min(wrong)), key=lambda g: (g[1] - g[0], -g[0]))
+        assert math.isclose(quality_rank.best_cut(spark.createDataFrame(rows, "rank double, good boolean").repartition(3)), (low + high) / 2)
+
+
 @pytest.mark.parametrize("run", [toxicity.toxicity, quality_rank.quality_rank])
 def test_rankers_edges(spark, docs, labels, edge, run):
     rows = run(edge, labels).collect()
