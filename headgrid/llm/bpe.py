@@ -82,13 +82,16 @@ class Codec:
         self.mapped = str.maketrans({i: c for i, c in enumerate(byte_characters())})
         self.chunks = ChunkEncoder(pattern, self._merge)
 
-    def _merge(self, tokens: list[str]) -> list[bytes]:
-        """Ids of pre-tokens: an entry's own number, or what the model merges."""
-        raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
+    def _merge(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, an entry's own number or what the model merges, and how many each has."""
+        different = list(dict.fromkeys(tokens))
+        raw = [t.encode("utf-8", "surrogatepass") for t in different]
         ranks = [self.rank.get(r) for r in raw]
         merged = [r.decode("latin-1").translate(self.mapped) for r, known in zip(raw, ranks) if known is None]
         found = iter(self.model.encode(merged, num_threads=1) if merged else [])
-        return [array("I", next(found) if known is None else [known]).tobytes() for known in ranks]
+        ids = {t: array("I", next(found) if known is None else [known]).tobytes() for t, known in zip(different, ranks)}
+        parts = [ids[t] for t in tokens]
+        return np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

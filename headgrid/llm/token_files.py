@@ -37,7 +37,7 @@ from headgrid.llm.common import arrow_map
 
 FRAME_IDS = 1 << 16
 LEVEL = 3
-#: Words and pre-tokens that a worker remembers: the library is slow on new ones.
+#: Words that a worker remembers: the library is slow on new ones.
 MEMO = 650_000
 #: Most tasks that read files; each reads its files one after the other.
 READ_TASKS = 10_000
@@ -160,7 +160,8 @@ def encoder(vocabulary: str, pattern: str) -> ChunkEncoder:
     own, model = (tokenizers.Tokenizer.from_file(vocabulary) for _ in range(2))
     model.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
     special = tuple(t.content for t in own.get_added_tokens_decoder().values())
-    mapped = str.maketrans({b: c for b, c in enumerate(byte_characters()) if b != 10})
+    mapped = np.array([ord(c) for c in byte_characters()], dtype="<u4")
+    mapped[10] = 10
     entries = own.get_vocab()
     length = np.zeros(max(entries.values()) + 1, dtype=np.int64)
     for entry, number in entries.items():
@@ -170,17 +171,15 @@ def encoder(vocabulary: str, pattern: str) -> ChunkEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def merge(tokens):
-        raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
-        odd = [at for at, r in enumerate(raw) if b"\n" in r]
-        out = dict(zip(odd, whole([tokens[at] for at in odd])))
-        plain = [r for r in raw if b"\n" not in r]
-        if plain:
-            text = b"\n".join(plain).decode("latin-1").translate(mapped)
-            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(r) for r in plain])) + 1
-            packed, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
-            found = iter([packed[4 * s : 4 * e] for s, e in zip(starts, ends.tolist())])
-        return [out[at] if at in out else next(found) for at in range(len(raw))]
+        raw = np.frombuffer("\n".join(tokens).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        feeds = np.flatnonzero(raw == 10)
+        if len(feeds) >= len(tokens):  # some hold line feeds
+            found = whole(tokens)
+            return np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(f) // 4 for f in found], dtype=np.int64)
+        text = mapped[raw].tobytes().decode("utf-32-le")
+        ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        upto = np.append(feeds, len(raw)) - np.arange(len(tokens))
+        return ids, np.diff(np.searchsorted(np.cumsum(length[ids]), upto) + 1, prepend=0)
 
     return ChunkEncoder(pattern, merge, whole, lambda text: any(s in text for s in special), MEMO)
 

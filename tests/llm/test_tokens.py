@@ -14,7 +14,7 @@ import tokenizers
 import zstandard
 
 import corpus_pipeline
-from headgrid.llm import bpe, quality_rules, queries, token_files
+from headgrid.llm import bpe, chunks, quality_rules, queries, token_files
 from headgrid.llm.common import scratch
 
 RANKS, PATTERN = queries.MULTI_RANKS, public_tokenizers.PATTERN
@@ -52,6 +52,26 @@ def test_token_encoder_equals_library(texts):
     assert [ints(f) for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_full_memory_keeps_frequent_words():
+    """Words met in many groups are merged once, however many others fill the memory."""
+    merged = []
+
+    def merge(tokens):
+        merged.extend(tokens)
+        parts = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in tokens]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    own = chunks.ChunkEncoder(PATTERN, merge, memo=64)
+    often, long = [chr(97 + i) * 3 for i in range(20)], "x" * (chunks.LONGEST + 1)
+    for group in range(30):
+        rare = [f"{a}{b}" for a in "pqrst" for b in [chr(0x4E00 + 10 * group + i) for i in range(6)]]
+        texts = [" ".join(often) + "\n" + " ".join(rare), f"a  {long} b\t\n", None, f"y {long}, {long}\n.", ""]
+        found = own.encode(texts)
+        assert [f.decode("utf-32-le") for f in found] == [t or "" for t in texts]
+        assert len(own.memo.known) <= 64 + 70 and f" {long}" not in own.memo.known
+    assert all(merged.count(" " + w) == 1 for w in often[1:])
+
+
 def test_bpe_frames(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "x y"), (3, "x y"), (4, "w " * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as bytes", "1 as n_tokens")
